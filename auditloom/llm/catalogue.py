@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import groups, mixing, tokens
+from auditloom.llm import groups, mixing, pii, tokens
 from auditloom.plans.tables import table
 
 
@@ -24,7 +24,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_draws(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {
     "p2_found": """WITH RECURSIVE r AS (SELECT DISTINCT record_id AS id FROM records),
