@@ -13,7 +13,7 @@ and is never late; hot targets are joined by ``skew_join``; an empty parent tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import filled
@@ -22,41 +22,33 @@ from auditloom.operators.skew import heavy_keys, skew_join
 MAX_BITS = 64 * 1024 * 1024
 
 
-def bloom_filter(df: DataFrame, key: str, expected: int, bits_per_key: int = 12) -> bytes:
-    """Serialized filter of ``key``'s hashes, built by partial aggregation on the executors."""
+def bloom_filter(df: DataFrame, key: str, expected: int, bits_per_key: int = 12) -> Column:
+    """A filter of ``key``'s hashes as a scalar subquery, built by partial aggregation on the executors."""
     bits = max(64, min(MAX_BITS, expected * bits_per_key))
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    cat = jvm.org.apache.spark.sql.catalyst.expressions
+    jvm = df.sparkSession.sparkContext._jvm
     util = getattr(jvm.org.apache.spark.sql.classic, "ExpressionUtils")
     lit = lambda n: util.expression(F.lit(n).cast("long")._jc)
-    agg = cat.aggregate.BloomFilterAggregate(util.expression(F.xxhash64(key)._jc), lit(max(1, expected)), lit(bits))
-    col = Column(util.column(agg.toAggregateExpression()))
-    return bytes(df.agg(col.alias("f")).collect()[0].f or b"")
+    agg = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(util.expression(F.xxhash64(key)._jc), lit(max(1, expected)), lit(bits))
+    return df.agg(Column(util.column(agg.toAggregateExpression())).alias("f")).scalar()
 
 
-def might_contain(spark, bloom: bytes, key: Column) -> Column:
-    jvm = spark.sparkContext._jvm
-    cat = jvm.org.apache.spark.sql.catalyst.expressions
+def might_contain(bloom: Column, key: Column) -> Column:
+    """False only where the filter proves that ``key`` isn't in it."""
+    jvm = SparkSession.active().sparkContext._jvm
     util = getattr(jvm.org.apache.spark.sql.classic, "ExpressionUtils")
-    held = util.expression(F.lit(bytearray(bloom))._jc)
-    return Column(util.column(cat.BloomFilterMightContain(held, util.expression(F.xxhash64(key)._jc))))
+    return Column(util.column(jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(util.expression(bloom._jc), util.expression(F.xxhash64(key)._jc))))
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """refs(ref_field, from_id, target_id, at) against parents(ref_field, target_id, gone, first_at)."""
-    spark = refs.sparkSession
     keyed = F.concat_ws("\u0001", "ref_field", "target_id")
     known = parents.select(keyed.alias("k"))
     n = known.count()
-    passed: DataFrame
-    if n:
-        bloom = bloom_filter(known, "k", n)
-        tested = refs.withColumn("_may", might_contain(spark, bloom, keyed))
-        passed = tested.where(F.col("_may")).drop("_may")
-        absent = tested.where(~F.col("_may")).select("ref_field", "from_id", "target_id", F.lit("missing").alias("status"), "at")
-    else:
+    if not n:
         return refs.select("ref_field", "from_id", "target_id", F.lit("missing").alias("status"), "at")
+    may = might_contain(bloom_filter(known, "k", n), keyed)
+    passed = refs.where(may)
+    absent = refs.where(~may).select("ref_field", "from_id", "target_id", F.lit("missing").alias("status"), "at")
     state = parents.groupBy("ref_field", "target_id").agg(F.min("gone").alias("gone"), F.min("first_at").alias("first_at"))
     joined = skew_join(passed, state, ["ref_field", "target_id"], "left", heavy_keys(passed, ["ref_field", "target_id"]))
     status = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("first_at") > F.col("at"), "late")
