@@ -46,11 +46,31 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], carry: str,
     )
 
 
+def with_running(df: DataFrame, group: list[str], order: list[str], values: dict[str, tuple[str, str, bool]], scratch: Scratch, name: str) -> DataFrame:
+    """Adds running aggregates by ``order`` (a total order within a group; group columns may be null).
+
+    ``values``: new column -> (column, "sum", "max" or "min", whether this row itself counts). A running sum
+    starts at 0, a running maximum or minimum of no rows is null.
+    """
+    how = {"sum": F.sum, "max": F.max, "min": F.min}
+    t = _ranged(df, [*group, *order], scratch, name)
+    w = Window.partitionBy("_pid", *group).orderBy(*order)
+    part = t.groupBy("_pid", *group).agg(*[how[f](c).alias(f"_all_{n}") for n, (c, f, _) in values.items()])
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition and group: what came in earlier partitions
+    before = part.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], *[how[f](f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (_, f, _) in values.items()])
+    for n, (c, f, own) in values.items():
+        t = t.withColumn(f"_own_{n}", how[f](c).over(w.rowsBetween(Window.unboundedPreceding, 0 if own else -1)))
+    same = F.col("_pid") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    j = t.join(before, same)
+    for n, (_, f, _) in values.items():
+        a, b = F.col(f"_own_{n}"), F.col(f"_before_{n}")
+        j = j.withColumn(n, F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if f == "sum" else F.greatest(a, b) if f == "max" else F.least(a, b))
+    return j.select(*df.columns, *values)
+
+
 def with_running_sum(df: DataFrame, group: list[str], order: list[str], value: str, scratch: Scratch, name: str, out: str = "running") -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the group's rows up to this one by ``order`` (a total order)."""
-    t = _ranged(df, [*group, *order], scratch, name)
-    w = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = t.groupBy("_pid", *group).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_pid", *group, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    return t.withColumn("_own", F.sum(value).over(w)).join(offsets, ["_pid", *group]).withColumn(out, F.col("_own") + F.col("_before")).drop("_pid", "_own", "_before")
+    return with_running(df, group, order, {out: (value, "sum", True)}, scratch, name)

@@ -13,11 +13,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import dist
+from auditloom.operators.ordering import with_running
 from auditloom.operators.quantiles import value_counts_with_rank
+from auditloom.operators.skew import skew_join
 from auditloom.scratch import Scratch
 
 
@@ -254,20 +256,22 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str, offset: str | None =
     return spark.createDataFrame(rows, "term string, estimate double, se double, statistic double, ratio double, n long, deviance double, pearson_dispersion double")
 
 
-def adjust(df: DataFrame, family: list[str], p: str, order: list[str], scratch: Scratch | None = None) -> DataFrame:
-    """Adds p_bonferroni, p_holm and p_bh within each family (null p stays null)."""
-    known = df.where(F.col(p).isNotNull())
-    m = known.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
-    up = Window.partitionBy(*family).orderBy(p, *order)
-    down = Window.partitionBy(*family).orderBy(F.col(p).desc(), *[F.col(o).desc() for o in order])
-    run = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = known.join(m, family).withColumn("_i", F.row_number().over(up))
-    out = out.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p) * F.col("_m")))
-    out = out.withColumn("p_holm", F.max(F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col(p))).over(run(up)))
-    out = out.withColumn("p_bh", F.min(F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_i"))).over(run(down)))
+def adjust(df: DataFrame, family: list[str], p: str, ident: list[str], scratch: Scratch | None = None) -> DataFrame:
+    """Adds p_bonferroni, p_holm and p_bh within each family; a null p stays null and doesn't count.
+
+    Ranks and running bounds come from range partitions, so a family of any size is no single task.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "adjust")
+    known = df.where(F.col(p).isNotNull()).withColumn("_one", F.lit(1).cast("long"))
+    m = df.where(F.col(p).isNotNull()).groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = skew_join(with_running(known, family, [p, *ident], {"_i": ("_one", "sum", True)}, scratch, "ranked"), m, family)
+    one = F.lit(1.0)
+    ranked = ranked.withColumn("p_bonferroni", F.least(one, F.col(p) * F.col("_m"))).withColumn("_h", F.least(one, (F.col("_m") - F.col("_i") + 1) * F.col(p))).withColumn("_b", F.least(one, F.col(p) * F.col("_m") / F.col("_i"))).withColumn("_down", -F.col("_i"))
+    held = scratch.write(with_running(ranked, family, ["_i"], {"p_holm": ("_h", "max", True)}, scratch, "holm"), "held")
+    out = with_running(held, family, ["_down"], {"p_bh": ("_b", "min", True)}, scratch, "bh").drop("_one", "_i", "_m", "_h", "_b", "_down")
     none = F.lit(None).cast("double")
     rest = df.where(F.col(p).isNull()).withColumn("p_bonferroni", none).withColumn("p_holm", none).withColumn("p_bh", none)
-    return out.drop("_m", "_i").unionByName(rest)
+    return out.unionByName(rest)
 
 
 @F.pandas_udf("struct<p_value:double,ci_low:double,ci_high:double>")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditloom.plans import comparisons, problems
+from auditloom.plans import audits, comparisons, problems
 
-_MODULES = [comparisons, problems]
+_MODULES = [comparisons, audits, problems]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
