@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import ledger as L
 from auditloom.functions.text import norm
-from auditloom.operators import clean, findings, linkage, spans
+from auditloom.operators import clean, findings, hashing, linkage, power, spans
 from auditloom.operators.ordering import with_running_sum
 from auditloom.plans.tables import table
 from auditloom.scratch import Scratch
+from auditloom.streaming import ledgers as streaming
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -321,3 +322,33 @@ def numbered_paragraphs(s: SparkSession, d: str) -> DataFrame:
     # a project may hold a third of the rows: the count runs over range partitions
     keyed = c.withColumn("_g", F.concat_ws("\u0001", F.coalesce("project_id", F.lit("\u0002")), "section")).withColumn("_one", F.lit(1).cast("long"))
     return with_running_sum(keyed, ["_g"], ["claim_id"], "_one", Scratch(s, "numbers"), "n", "number").select("project_id", "claim_id", "section", "number")
+
+
+@query("power_plan")
+def power_plan(s: SparkSession, d: str) -> DataFrame:
+    return power.plan_power(table(s, d, "power_plan"))
+
+
+@query("record_states", "SELECT 'evidence' AS ledger, count(*) AS records FROM (SELECT DISTINCT trim(evidence_id), statement, estimate, p_value FROM evidence WHERE evidence_id IS NOT NULL)")
+def record_states(s: SparkSession, d: str) -> DataFrame:
+    st = hashing.record_state(table(s, d, "evidence"), "evidence", "evidence_id", ["statement", "estimate", "p_value"])
+    return hashing.state_id(st).select("ledger", "records")
+
+
+@query("affected_claims", """WITH ch AS (SELECT DISTINCT trim(source_id) AS source_id FROM sources WHERE deleted_at IS NOT NULL), ev AS (SELECT DISTINCT trim(evidence_id) AS e FROM evidence WHERE trim(source_id) IN (SELECT source_id FROM ch WHERE source_id IS NOT NULL)),
+  di AS (SELECT DISTINCT claim_id FROM (SELECT trim(claim_id) AS claim_id, trim(x) AS e FROM (SELECT claim_id, unnest(evidence_ids) AS x FROM claims)) WHERE e IN (SELECT e FROM ev WHERE e IS NOT NULL)),
+  fam AS (SELECT DISTINCT trim(claim_id) AS claim_id, trim(claim_family_id) AS f FROM claims WHERE trim(claim_family_id) <> '')
+  SELECT claim_id, 'direct' AS how FROM di UNION ALL SELECT DISTINCT claim_id, 'family' FROM fam WHERE f IN (SELECT f FROM fam WHERE claim_id IN (SELECT claim_id FROM di)) AND claim_id NOT IN (SELECT claim_id FROM di)""")
+def affected_claims(s: SparkSession, d: str) -> DataFrame:
+    gone = table(s, d, "sources").where("deleted_at is not null").select(F.trim("source_id").alias("source_id"))
+    return hashing.affected_claims(gone, table(s, d, "evidence"), table(s, d, "claims"))
+
+
+@query("stream_windows", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_windows(s: SparkSession, d: str) -> DataFrame:
+    schema = table(s, d, "events").schema
+    scratch = Scratch(s, "stream")
+    # the file is one table's; a stream reads folders, so the path is a pattern that matches it alone
+    events = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streaming.windowed_counts(events, "ts", ["event_type"], "value", late="3650 days")
+    return streaming.drain(out, scratch, "windows", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -286,3 +286,25 @@ def group_quantiles(s: SparkSession, d: str) -> DataFrame:
     from auditloom.operators.quantiles import quantiles
 
     return rounded(quantiles(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice", {"q1": 0.25, "median": 0.5, "q3": 0.75}), 4)
+
+
+#: A prespecified plan over the orders: the queries above as one analysis.
+ORDERS_PLAN = {
+    "analyses": [
+        {"id": "price_by_status", "type": "independent_t", "group": "o_orderstatus", "outcome": "o_totalprice", "level_a": "F", "level_b": "O", "family": "price"},
+        {"id": "price_equal", "type": "equivalence_tost_independent", "group": "o_orderstatus", "outcome": "o_totalprice", "level_a": "F", "level_b": "P", "low": -20000.0, "high": 20000.0, "family": "price"},
+        {"id": "price_ranks", "type": "mann_whitney", "group": "o_orderstatus", "outcome": "o_totalprice", "level_a": "F", "level_b": "O", "family": "price"},
+        {"id": "price_by_priority", "type": "welch_anova", "group": "o_orderpriority", "outcome": "o_totalprice", "levels": _PRIORITIES, "family": "price"},
+        {"id": "urgent_contrast", "type": "welch_contrast", "group": "o_orderpriority", "outcome": "o_totalprice", "weights": {"1-URGENT": 1.0, "3-MEDIUM": -0.5, "5-LOW": -0.5}},
+        {"id": "status_by_priority", "type": "chi_square", "row": "o_orderstatus", "col": "o_orderpriority"},
+    ],
+    "multiplicity": {"price": "holm"},
+    "sensitivity": [{"id": "without_low", "base": "price_by_status", "filters": [["o_orderpriority", "eq", "5-LOW"]], "same_estimand": True}],
+}
+
+
+@query("analysis_plan")
+def analysis_plan(s: SparkSession, d: str) -> DataFrame:
+    from auditloom.plans import analysis
+
+    return analysis.run(table(s, d, "orders"), ORDERS_PLAN)
