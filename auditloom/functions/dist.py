@@ -110,7 +110,7 @@ def chi2_sf(x: float, df: float) -> float:
     return 1 - gamma_inc(df / 2, x / 2)
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(160)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(320)
 _ERFC = np.frompyfunc(math.erfc, 1, 1)
 
 
@@ -121,7 +121,7 @@ def nct_cdf(x: float, df: float, ncp: float) -> float:
     # P(T <= x) = E[ Phi(x * s - ncp) ], s = sqrt(V / df), V chi-square with df
     log_c = math.log(2) + (df / 2) * math.log(df / 2) - math.lgamma(df / 2)
     spread = 1 / math.sqrt(2 * df)
-    low, high = max(-30.0, -12 * spread - 4 / df), min(6.0, 10 * spread + 2 / df)
+    low, high = -12 * spread - 18 / df, min(6.0, 10 * spread + 2 / df)
     u = (high - low) / 2 * _NODES + (high + low) / 2
     dens = np.exp(log_c + df * u - (df / 2) * np.exp(2 * u))
     phi = 0.5 * _ERFC(-(x * np.exp(u) - ncp) / math.sqrt(2)).astype(float)

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.functions.text import norm
 
@@ -20,7 +21,7 @@ def norm_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_title(s: pd.Series) -> pd.Series:
     """Decomposed, case-folded, without punctuation, single-spaced."""
     def one(x: str | None) -> str:
@@ -126,7 +127,7 @@ def top_level_clauses(text: str) -> list[str]:
     return [p for p in (x.strip(" ,.") for x in [*out, text[at:]]) if p]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def clauses(s: pd.Series) -> pd.Series:
     return s.map(lambda x: top_level_clauses(x or ""))
 

@@ -21,7 +21,7 @@ def variant_key(v: Column) -> Column:
         F.when(v.isNull() | (kind == "VOID"), "missing|")
         .when(kind == "BOOLEAN", F.concat(F.lit("bool|"), F.try_variant_get(v, "$", "string")))
         .when(kind == "STRING", F.concat(F.lit("str|"), F.try_variant_get(v, "$", "string")))
-        .when(kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.concat(F.lit("num|"), num.cast("string")))
+        .when(kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.concat(F.lit("num|"), F.when((num == F.floor(num)) & (F.abs(num) < 1e15), num.cast("long").cast("string")).otherwise(num.cast("string"))))
         .otherwise(F.concat(kind, F.lit("|"), F.to_json(v)))
     )
 

@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_bytes(v: object) -> bytes:
@@ -15,7 +16,7 @@ def canonical_bytes(v: object) -> bytes:
     return json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_hash(s: pd.Series) -> pd.Series:
     """sha256 of a JSON text's canonical form; null for text that isn't JSON."""
     def one(t: str | None) -> str | None:

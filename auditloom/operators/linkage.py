@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.functions import ledger as L
 from auditloom.functions.text import filled, norm
@@ -41,7 +42,7 @@ def merge_records(records: DataFrame, groups: DataFrame, columns: list[str]) ->
     return j.groupBy("group_id").agg(*best, F.array_join(F.array_sort(F.collect_set("record_id")), ";").alias("merged_from_ids"), F.count(F.lit(1)).alias("members"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Character similarity of the longest-block matching kind."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

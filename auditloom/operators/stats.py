@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.functions import dist
 from auditloom.operators.ordering import with_running
@@ -274,7 +275,7 @@ def adjust(df: DataFrame, family: list[str], p: str, ident: list[str], scratch:
     return out.unionByName(rest)
 
 
-@F.pandas_udf("struct<p_value:double,ci_low:double,ci_high:double>")
+@F.pandas_udf(T.StructType([T.StructField("p_value", T.DoubleType()), T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())]))
 def _t_tails(est: pd.Series, se: pd.Series, df: pd.Series, alternative: pd.Series, level: pd.Series) -> pd.DataFrame:
     rows = []
     for e, s, d, alt, lv in zip(est, se, df, alternative, level):
