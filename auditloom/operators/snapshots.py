@@ -4,7 +4,7 @@ A snapshot's rows are sorted by key and cut into chunks where a hash of the key
 not depend on other rows: equal stretches of two snapshots are cut alike. Chunks with the same
 digest on both sides are discarded; only the rows of the others are joined by key.
 
-Defined results: a snapshot delivered more than once counts as its latest delivery (the greatest, at equal times);
+Defined results: a snapshot delivered more than once counts as its latest delivery (at equal times by taken_at, then by digest);
 the first snapshot of a series has nothing to report; null is a value; an absent or null section is empty; a
 payload that can't be read is an empty snapshot; exact repeats count once. Rows are range-partitioned, so a
 huge snapshot or a series with a third of all rows spreads over many tasks; a cut at a
@@ -22,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.ordering import with_previous
+from auditloom.operators.references import bloom_filter, might_contain
 from auditloom.operators.skew import skew_join
 from auditloom.scratch import Scratch
 
 #: Rows of a chunk on average.
-CHUNK_ROWS = 16
-_CHUNK = "series string, snapshot string, start string, digest string, rows array<struct<section:string,entry:string,value:string>>"
+CHUNK_ROWS = 8
+_CHUNK = "series string, snapshot string, digest binary, rows array<struct<section:string,entry:string,value:string>>"
 
 
 def cut(batches: Iterator[pd.DataFrame], chunk_rows: int = CHUNK_ROWS) -> Iterator[pd.DataFrame]:
     """Sorted rows (series, snapshot, section, entry, value) to chunks."""
-    names = ["series", "snapshot", "start", "digest", "rows"]
+    names = ["series", "snapshot", "digest", "rows"]
     at, rows = None, []
 
     def close() -> list[tuple]:
@@ -43,7 +44,7 @@ def cut(batches: Iterator[pd.DataFrame], chunk_rows: int = CHUNK_ROWS) -> Iterat
             for part in (s, e, v):
                 raw = b"" if part is None else part.encode("utf-8", "surrogatepass")
                 h.update(b"%d:" % (-1 if part is None else len(raw)) + raw)
-        return [(*at, f"{rows[0][0]}\u0001{rows[0][1]}", h.hexdigest(), [{"section": s, "entry": e, "value": v} for s, e, v in rows])]
+        return [(*at, h.digest(), [{"section": s, "entry": e, "value": v} for s, e, v in rows])]
 
     for b in batches:
         out: list[tuple] = []
@@ -68,10 +69,17 @@ def snapshot_changes(entries: DataFrame, snapshots: DataFrame, scratch: Scratch,
     roles = roles.groupBy("series", F.col("r.s").alias("snapshot")).agg(F.max(F.when(F.col("r.new"), F.col("r.pair"))).alias("as_new"), F.max(F.when(~F.col("r.new"), F.col("r.pair"))).alias("as_old"))
     by = ["series", "snapshot", "section", "entry"]
     chunks = scratch.write(entries.select(*by, "value").repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(lambda b: cut(b, chunk_rows), _CHUNK), "chunks")
-    sided = lambda df: skew_join(df, roles, ["series", "snapshot"]).select(*[c for c in df.columns if c != "snapshot"], F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("as_new").alias("pair")), F.struct(F.lit(False).alias("new"), F.col("as_old").alias("pair")))).alias("r")).select("*", "r.new", "r.pair").drop("r").where("pair is not null")
-    key = ["series", "pair", "start", "digest"]
-    alone = sided(chunks.select("series", "snapshot", "start", "digest")).groupBy(*key).agg(F.min("new").alias("a"), F.max("new").alias("new")).where("a = new").drop("a")
-    rows = sided(chunks).join(alone, [*key, "new"], "left_semi").select("series", "pair", "new", F.explode("rows").alias("e"))
+    # every chunk serves as its snapshot's and as the next one's earlier state
+    both = F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("as_new").alias("pair")), F.struct(F.lit(False).alias("new"), F.col("as_old").alias("pair"))))
+    sided = skew_join(chunks.select("series", "snapshot", "digest"), roles, ["series", "snapshot"]).select("series", "snapshot", "digest", both.alias("r")).where("r.pair is not null").select("series", "snapshot", "digest", "r.*")
+    alone = sided.groupBy("series", "pair", "digest").agg(F.min("new").alias("a"), F.max("new").alias("new"), F.min("snapshot").alias("snapshot")).where("a = new")
+    need = scratch.write(alone.select("series", "snapshot", "digest", "pair", "new"), "need")
+    # a filter of the needed chunks keeps the matched ones from being shuffled; the join is exact
+    key = ["series", "snapshot", "digest"]
+    hashed = F.xxhash64(*key)
+    n = need.count()
+    wanted = chunks.where(might_contain(bloom_filter(need.select(hashed.alias("k")), "k", n), hashed)) if n else chunks.limit(0)
+    rows = wanted.join(need, key).select("series", "pair", "new", F.explode("rows").alias("e"))
     side = lambda n: F.max(F.when(F.col("new") == n, F.struct("e.value")))
     both = rows.groupBy("series", F.col("pair").alias("snapshot"), "e.section", "e.entry").agg(side(True).alias("n"), side(False).alias("o"))
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("n.value").eqNullSafe(F.col("o.value")), "changed")
@@ -98,7 +106,19 @@ def workspace_entries(states: DataFrame) -> DataFrame:
 def workspace_changes(state: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """project_id, snapshot_id, section, entry, change from each snapshot of a project to the next."""
     scratch = scratch or Scratch(state.sparkSession, "snapshots")
-    last = state.where("snapshot_id is not null and project_id is not null").groupBy(F.col("project_id").alias("series"), F.col("snapshot_id").alias("snapshot")).agg(F.max(F.struct("arrived_at", "taken_at", "payload")).alias("d"))
-    last = scratch.write(last.select("series", "snapshot", "d.taken_at", "d.payload"), "states")
-    out = snapshot_changes(workspace_entries(last), last.select("series", "snapshot", "taken_at"), scratch)
+    all_ = state.where("snapshot_id is not null and project_id is not null").select(F.col("project_id").alias("series"), F.col("snapshot_id").alias("snapshot"), "arrived_at", "taken_at", "payload").withColumn("_d", F.xxhash64("payload"))
+    # deliveries are compared by time and digest; payloads are shuffled only where a snapshot came more than once
+    slim = all_.groupBy("series", "snapshot").agg(F.max(F.struct("arrived_at", "taken_at", "_d")).alias("d"), F.count(F.lit(1)).alias("n"))
+    slim = scratch.write(slim.select("series", "snapshot", "d.*", "n"), "snapshots")
+    again = slim.where("n > 1")
+    n = again.count()
+    last = all_
+    if n:
+        key = F.xxhash64("series", "snapshot")
+        more = might_contain(bloom_filter(again.select(key.alias("k")), "k", n), key)
+        held = slim.select("series", "snapshot", "arrived_at", "taken_at", "_d")
+        same = (all_["series"] == held["series"]) & (all_["snapshot"] == held["snapshot"]) & all_["arrived_at"].eqNullSafe(held["arrived_at"]) & all_["taken_at"].eqNullSafe(held["taken_at"]) & all_["_d"].eqNullSafe(held["_d"])
+        last = all_.where(~more).unionByName(all_.where(more).join(held, same, "left_semi"))
+    last = last.select("series", "snapshot", "payload")
+    out = snapshot_changes(workspace_entries(last), slim.select("series", "snapshot", "taken_at"), scratch)
     return out.withColumnRenamed("series", "project_id").withColumnRenamed("snapshot", "snapshot_id")
