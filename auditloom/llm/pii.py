@@ -63,6 +63,15 @@ _ADDRESS = [
     re.compile(r"[一-鿿]{2}市(?:[一-鿿]{2}区)?[一-鿿]{1,3}(?:路|街|道|巷)\d+号(?:\d+(?:栋|幢|号楼))?(?:\d+室)?"),
 ]
 
+# what a text must hold, in lower case, for a form to occur; spares most texts the search
+_ADDRESS_SIGNS = [
+    ("street", " st", "road", " rd", "lane", " ln", "ave", " way", "blvd", "boulevard", "court", " ct", "drive", " dr", "close", "sq", "terrace", "place", "crescent", "gardens"),
+    ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm "),
+    ("rue ", "avenue ", "boulevard ", "bd ", "place ", "chemin ", "allée ", "impasse ", "quai ", "cours "),
+    ("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino "),
+    ("市",),
+]
+
 _PARTICLES = {"von", "van", "de", "der", "den", "del", "della", "di", "da", "du", "la", "le", "mac", "mc", "al", "el", "bin", "ibn", "ter", "ten", "zu", "zur", "dos", "das"}
 _TOKEN = re.compile(rf"[{_L}]+(?:['’-][{_L}]+)*\.?")
 _HAN_NAME = re.compile(r"(?:(?<=[为由与和：:=|·。，、\n\r ])|(?<=感谢)|(?<=^))(?!感谢|作者|通讯|请|电话|地址|邮箱|证件|受试)[一-鿿]{2,4}(?=，|提供|。|;| ?[|·]|\s|$|\(|（)")
@@ -80,9 +89,12 @@ _AFTER_NAME = {"wrote", "re-ran", "who", "and", "for", "hat", "a", "rated", "sai
 _AFTER_NO_NAME = {"et", "und", "index", "scale", "y", "等", "site", "data", "notes", "test", "method", "score", "model", "were", "lists", "segments", "等，"}
 
 
+_UNPLAIN = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_PLAIN)))) + "]")
+
+
 def plain(text: str) -> str:
     """The text with one plain character for each full-width one, of the same length."""
-    return text.translate(_PLAIN)
+    return text.translate(_PLAIN) if not text.isascii() and _UNPLAIN.search(text) else text
 
 
 def _fold(word: str) -> str:
@@ -104,6 +116,7 @@ class Lexicon:
         self.tails = {t for t, n in tails.items() if n >= 3}
         self.han = {t for t in self.roles if len(t) == 1}
         self.seen: dict[str, str] = {}
+        self.tokens: dict[str, tuple[str, int]] = {}
 
     def built(self, w: str) -> bool:
         return any(w[:i] in self.heads and w[i:] in self.tails for i in range(2, len(w) - 1))
@@ -124,6 +137,19 @@ class Lexicon:
         return k
 
 
+    def token(self, w: str) -> tuple[str, int]:
+        """Kind of a token as it stands in text, and its length without a closing dot."""
+        t = self.tokens.get(w)
+        if t is None:
+            dotted = w[-1] == "."
+            core = w.rstrip(".")
+            kind = "i" if dotted and len(core) == 1 and core.isupper() else "p" if core.lower() in _PARTICLES and not dotted else self.kind(core)
+            if len(self.tokens) > 500_000:
+                self.tokens.clear()
+            t = self.tokens[w] = (kind, len(w) if kind == "i" else len(core))
+        return t
+
+
 @dataclass(slots=True)
 class Segment:
     start: int
@@ -246,24 +272,24 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
         out.append(Segment(s, e, "name", ["name", *[f"name|{x}" for x in f]]))
 
     end = -2
+    token = lex.token
     for m in _TOKEN.finditer(t):
-        s, e = m.span()
         w = m[0]
-        dotted = w[-1] == "."
-        core = w.rstrip(".")
-        kind = "i" if dotted and len(core) == 1 and core.isupper() else "p" if core.lower() in _PARTICLES and not dotted else lex.kind(core)
+        kind, size = token(w)
         if not kind:
-            flush()
-            end = -2
+            if run:
+                flush()
+                end = -2
             continue
+        s = m.start()
         gap = t[end:s] if end >= 0 else ""
         if run and gap == ", ":
             run.append((end, end + 1, ",", "c"))
         elif run and gap != " ":
             flush()
-        run.append((s, e if kind == "i" else s + len(core), core, kind))
-        end = s + len(core) if kind != "i" else e
-        if dotted and kind != "i":
+        run.append((s, s + size, w[:size], kind))
+        end = s + size
+        if kind != "i" and size < len(w):
             flush()
             end = -2
     flush()
@@ -287,7 +313,10 @@ def propose(text: str, lex: Lexicon) -> list[Segment]:
             f = ["email", "email|sign" if "@" in m[0] else "email|word"]
             _context(t, *m.span(), f)
             out.append(Segment(*m.span(), "email", [x if x.startswith("email") else f"email|{x}" for x in f]))
+    low = t.lower()
     for n, rx in enumerate(_ADDRESS):
+        if not any(w in low for w in _ADDRESS_SIGNS[n]):
+            continue
         for m in rx.finditer(t):
             f = ["address", f"address|form:{n}", "address|post" if re.search(r"\d{5}|\d[A-Z]{2}$", m[0]) else "address|no post"]
             g: list[str] = []
