@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import ledger as L
 from auditloom.functions.text import norm
-from auditloom.operators import clean, findings, hashing, linkage, power, spans
+from auditloom.operators import clean, findings, hashing, linkage, literature, manuscript, power, spans
 from auditloom.operators.ordering import with_running_sum
 from auditloom.plans.tables import table
 from auditloom.scratch import Scratch
@@ -352,3 +352,34 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     events = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     out = streaming.windowed_counts(events, "ts", ["event_type"], "value", late="3650 days")
     return streaming.drain(out, scratch, "windows", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("result_sanity", """WITH r AS (SELECT *, trim(coalesce(analysis_id, '')) || '/' || trim(coalesce(analysis_item_id, '')) AS e FROM results),
+  b AS (SELECT e, unnest([CASE WHEN NOT (p_value BETWEEN 0 AND 1) THEN 'p_range' END, CASE WHEN p_adjusted < p_value - 1e-12 OR NOT (p_adjusted BETWEEN 0 AND 1) THEN 'p_adjusted' END, CASE WHEN ci_low > ci_high THEN 'ci_order' END,
+    CASE WHEN estimate < ci_low OR estimate > ci_high THEN 'estimate_outside' END, CASE WHEN ci_level <= 0 OR ci_level >= 1 THEN 'level' END, CASE WHEN n < 0 THEN 'n' END, CASE WHEN isnan(effect_size) OR isinf(effect_size) OR isinf(statistic) THEN 'not_finite' END, CASE WHEN p_value IS NULL THEN 'p_missing' END]) AS rule FROM r)
+  SELECT DISTINCT 'error' AS severity, rule, e AS entity_id, 'the values don''t fit together' AS message FROM b WHERE rule IS NOT NULL
+  UNION SELECT DISTINCT 'error', 'blank_key', e, 'a key part is blank' FROM r WHERE trim(coalesce(analysis_id, '')) = '' OR trim(coalesce(analysis_item_id, '')) = ''""")
+def result_sanity(s: SparkSession, d: str) -> DataFrame:
+    return literature.result_sanity(table(s, d, "results"))
+
+
+@query("value_closure", r"""WITH c AS (SELECT DISTINCT claim_id, text, required_value_tokens AS req FROM claims), t AS (SELECT claim_id, list_transform(regexp_extract_all(coalesce(text, ''), '[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?'), lambda x: regexp_replace(x, '[,+]', '', 'g')) AS said,
+    list_transform(list_filter(coalesce(req, []), lambda x: trim(x) <> ''), lambda x: regexp_replace(trim(x), '[,+]', '', 'g')) AS need FROM c)
+  SELECT DISTINCT 'error' AS severity, 'value_not_in_text' AS rule, coalesce(claim_id, '') AS entity_id, x AS message FROM (SELECT claim_id, unnest(need) AS x, said FROM t) WHERE NOT list_contains(said, x)
+  UNION SELECT DISTINCT 'warning', 'value_not_required', coalesce(claim_id, ''), x FROM (SELECT claim_id, unnest(said) AS x, need FROM t) WHERE NOT list_contains(need, x)""")
+def value_closure(s: SparkSession, d: str) -> DataFrame:
+    return manuscript.value_closure(table(s, d, "claims").select("claim_id", "text", "required_value_tokens").distinct())
+
+
+@query("claim_foreign_keys", """SELECT DISTINCT 'error' AS severity, 'no_such_evidence' AS rule, id AS entity_id, k AS message FROM (SELECT claim_id AS id, trim(x) AS k FROM (SELECT claim_id, unnest(evidence_ids) AS x FROM claims)) WHERE k <> '' AND k NOT IN (SELECT trim(evidence_id) FROM evidence WHERE evidence_id IS NOT NULL)
+  UNION SELECT DISTINCT 'error', 'no_such_source', id, k FROM (SELECT evidence_id AS id, trim(source_id) AS k FROM evidence) WHERE k <> '' AND k NOT IN (SELECT trim(source_id) FROM sources WHERE source_id IS NOT NULL)""")
+def claim_foreign_keys(s: SparkSession, d: str) -> DataFrame:
+    ev = table(s, d, "evidence")
+    return findings.union([manuscript.foreign_keys(table(s, d, "claims"), "claim_id", "evidence_ids", ev, "evidence_id", "no_such_evidence"), manuscript.foreign_keys(ev, "evidence_id", "source_id", table(s, d, "sources"), "source_id", "no_such_source")])
+
+
+@query("rule_matches", """WITH r AS (SELECT record_id, lower(trim(coalesce(title, '')) || ' ' || trim(coalesce(abstract, ''))) AS t, lower(trim(coalesce(source, ''))) AS s, trim(coalesce(doi, '')) AS doi FROM records)
+  SELECT DISTINCT record_id, rule_id FROM (SELECT record_id, unnest([CASE WHEN contains(t, 'dropout') OR contains(t, 'survival') THEN 'terms' END, CASE WHEN s IN ('manual') THEN 'manual' END, CASE WHEN regexp_matches(t, '\\bseed [0-9]+\\b') THEN 'seeded' END, CASE WHEN doi = '' THEN 'no_doi' END]) AS rule_id FROM r) WHERE rule_id IS NOT NULL""")
+def rule_matches(s: SparkSession, d: str) -> DataFrame:
+    rules = [{"id": "terms", "op": "contains_any", "fields": ["title", "abstract"], "values": ["dropout", "survival"]}, {"id": "manual", "op": "equals", "field": "source", "values": ["Manual"]}, {"id": "seeded", "op": "regex", "fields": ["title", "abstract"], "pattern": r"\bseed [0-9]+\b"}, {"id": "no_doi", "op": "missing", "field": "doi"}, {"id": "off", "op": "exists", "field": "title", "enabled": False}]
+    return literature.matching_rules(table(s, d, "records"), rules)

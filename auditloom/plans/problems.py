@@ -141,7 +141,32 @@ _P7 = """WITH last AS (SELECT * FROM workspace_state QUALIFY row_number() OVER (
   FROM n FULL JOIN b ON n.project_id = b.project_id AND n.snapshot_id = b.snapshot_id AND n.section = b.section AND n.entry = b.entry
   WHERE n.entry IS NULL OR b.entry IS NULL OR n.v IS DISTINCT FROM b.v"""
 
+_JSON_NUMBER = r"""^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*")$"""
+
+
+def _entries(doc: str, path: str) -> str:
+    """An array's entries; a single object is an array of one."""
+    return f"CASE json_type({doc}, '{path}') WHEN 'ARRAY' THEN json_extract({doc}, '{path}[*]') WHEN 'OBJECT' THEN [json_extract({doc}, '{path}')] ELSE [] END"
+
+
+def _at(doc: str, path: str) -> str:
+    """Entries as rows with their positions."""
+    return f"(SELECT unnest({_entries(doc, path)}) AS x, generate_subscripts({_entries(doc, path)}, 1) - 1 AS pos)"
+
+
+_P3 = f"""WITH p AS (SELECT DISTINCT planning_id, plan_version, CAST(payload AS JSON) AS j FROM power_plan WHERE json_valid(payload)),
+  it AS (SELECT planning_id, plan_version, u.x AS i FROM p, LATERAL {_at("j", "$.planning_items")} u),
+  sc AS (SELECT planning_id, plan_version, coalesce(i->>'$.planning_item_id', '') AS item_id, coalesce(u.x->>'$.scenario_id', '') AS scenario_id, u.pos, CASE json_type(u.x, '$.overrides') WHEN 'VARCHAR' THEN CASE WHEN json_valid(u.x->>'$.overrides') THEN CAST(u.x->>'$.overrides' AS JSON) END ELSE json_extract(u.x, '$.overrides') END AS o
+    FROM it, LATERAL {_at("i", "$.scenarios")} u WHERE json_type(u.x) = 'OBJECT'),
+  te AS (SELECT planning_id, plan_version, coalesce(i->>'$.planning_item_id', '') AS item_id, '' AS scenario_id, u.pos, u.x AS t FROM it, LATERAL {_at("i", "$.contrast_terms")} u
+    UNION ALL SELECT planning_id, plan_version, item_id, scenario_id, u.pos, u.x FROM sc, LATERAL {_at("o", "$.contrast_terms")} u),
+  co AS (SELECT claim_id, unnest(required_companions) AS c, generate_subscripts(required_companions, 1) - 1 AS pos FROM claims)
+  SELECT DISTINCT * FROM (SELECT 'override' AS kind, coalesce(planning_id, '') AS root_id, coalesce(plan_version, '') AS plan_version, item_id, scenario_id, pos FROM sc WHERE regexp_matches(CAST(json_extract(o, '$.mean_difference') AS VARCHAR), '{_JSON_NUMBER}')
+    UNION ALL SELECT 'term', coalesce(planning_id, ''), coalesce(plan_version, ''), item_id, scenario_id, pos FROM te WHERE regexp_matches(CAST(json_extract(t, '$.weight') AS VARCHAR), '{_JSON_NUMBER}')
+    UNION ALL SELECT 'companion', claim_id, '', trim(c.claim_id), '', pos FROM co WHERE trim(c.claim_id) <> '')"""
+
 SQL = {
+    "p3_found": _P3,
     "p4_found": _p4_sql(),
     "p5_found": _P5,
     "p5_by_period": f'SELECT ref_field, status, period, count(*) AS "references", count(DISTINCT target_id) AS targets FROM ({_P5}) GROUP BY ALL',
