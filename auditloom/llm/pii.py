@@ -49,7 +49,7 @@ _EMAIL = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+'-]*(?:{_AT}|(?:
 
 # numbers in groups with single separators
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_.@/+-])(?<!\d,)[+(]{0,2}\d+(?:[)]?[ .\-/]?[(]?\d+)*(?:X(?![A-Za-z0-9]))?")
-_CODE = re.compile(r"(?<![A-Za-z0-9_-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}\d{6,9}(?:[A-Z]\d?)?|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]{3}-\d{8})(?![A-Za-z0-9_-])")
+_CODE = re.compile(r"(?<![A-Za-z0-9_-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}\d{6,9}(?:[A-Z]\d?)?|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]{3}-\d{8}|\d{2}[A-Z]{2}\d{5})(?![A-Za-z0-9_-])")
 
 _NUM = r"\d{1,5} ?[A-Za-z]?"
 _STREETS = r"(?i:Street|St\.?|Road|Lane|Avenue|Way|Boulevard|Court|Drive|Close|Square|Terrace|Place|Crescent|Gardens|(?:Rd|Ln|Ave|Blvd|Ct|Dr|Sq)(?:\.(?=, ))?)"

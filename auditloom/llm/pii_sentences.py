@@ -104,7 +104,7 @@ class Filler:
 
     def identity(self) -> str:
         d, r = self.d, self.r
-        return r.choice((f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"0009-99{d(2)}-{d(4)}-{d(4)}", f"0009-99{d(2)}-{d(4)}-{d(3)}X", f"QQ {d(2)} {d(2)} {d(2)} C", f"QQ{d(6)}{r.choice('ABCD')}", f"XZ{d(7)}", f"XQ{d(7)}", f"LZ{d(6)}X{d(1)}", f"00{d(9)}", f"00 {d(3)} {d(3)} {d(3)}", f"{r.choice('12')} {d(2)} 13 99 {d(3)} {d(3)} {d(2)}", f"1{d(2)}1399{d(8)}", f"999999{r.choice(('19', '20'))}{d(10)}", f"00{d(6)}{r.choice('TRWGF')}", f"00{d(6)}-{r.choice('TRWGF')}", f"Z-00{d(5)}-P"))
+        return r.choice((f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"0009-99{d(2)}-{d(4)}-{d(4)}", f"0009-99{d(2)}-{d(4)}-{d(3)}X", f"QQ {d(2)} {d(2)} {d(2)} C", f"QQ{d(6)}{r.choice('ABCD')}", f"XZ{d(7)}", f"XQ{d(7)}", f"LZ{d(6)}X{d(1)}", f"00{d(9)}", f"00 {d(3)} {d(3)} {d(3)}", f"{r.choice('12')} {d(2)} 13 99 {d(3)} {d(3)} {d(2)}", f"1{d(2)}1399{d(8)}", f"999999{r.choice(('19', '20'))}{d(10)}", f"00{d(6)}{r.choice('TRWGF')}", f"00{d(6)}-{r.choice('TRWGF')}", f"Z-00{d(5)}-P", f"00ZZ{d(5)}"))
 
     def city(self) -> str:
         return self._new(self.family_names) if self.r.random() < 0.5 else self.r.choice(self.family_names)[:4] + self.r.choice(_PLACES)
