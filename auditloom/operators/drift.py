@@ -123,7 +123,7 @@ def _cast(v: object, kind: str) -> tuple[bool, object]:
 
 
 def ingest(lines: DataFrame, artifact: str, target: dict[str, str] | None = None, key: str | None = None) -> DataFrame:
-    """Columns stream_id, file_name, exported_at, record_key, the target's, ``_rescued`` and ``_fields``."""
+    """Columns stream_id, file_name, exported_at, record_key, the target's, ``_rescued``, ``_fields`` and ``_digest`` (of the whole record)."""
     target = TARGETS[artifact] if target is None else target
     key = key or RECORD_KEYS[artifact]
     sql = {"json": "string"}
@@ -155,7 +155,7 @@ def ingest(lines: DataFrame, artifact: str, target: dict[str, str] | None = None
 
     mine = lines.where((F.col("artifact") == artifact) & F.col("payload").isNotNull()).select("stream_id", "file_name", "exported_at", "payload")
     # a delivery that comes again holds the same records in another order: they collapse here
-    return mine.mapInPandas(each, schema).dropDuplicates(["stream_id", "file_name", "_d1", "_d2"]).drop("_d1", "_d2")
+    return mine.mapInPandas(each, schema).dropDuplicates(["stream_id", "file_name", "_d1", "_d2"]).withColumn("_digest", F.concat_ws("/", "_d1", "_d2")).drop("_d1", "_d2")
 
 
 def _without(m: str, field: str) -> Column:
@@ -196,7 +196,7 @@ def changes(records: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame
     # each record serves twice: in its file as the later one, and as the earlier one of the next file
     roles = pairs.select("stream_id", F.explode(F.array(F.struct("file_name", F.lit(1).alias("side"), F.col("file_name").alias("pair")), F.struct(F.col("old_file").alias("file_name"), F.lit(0).alias("side"), F.col("file_name").alias("pair")))).alias("r"))
     roles = roles.groupBy("stream_id", F.col("r.file_name").alias("file_name")).agg(F.max(F.when(F.col("r.side") == 1, F.col("r.pair"))).alias("as_new"), F.max(F.when(F.col("r.side") == 0, F.col("r.pair"))).alias("as_old"))
-    slim = records.select("stream_id", "file_name", F.coalesce(F.concat(F.lit("="), F.col("record_key")), F.concat(F.lit("?"), F.uuid())).alias("k"), "_fields")
+    slim = records.select("stream_id", "file_name", F.coalesce(F.concat(F.lit("="), F.col("record_key")), F.concat(F.lit("?"), F.col("file_name"), F.lit("/"), F.col("_digest"))).alias("k"), "_fields")
     both = skew_join(slim, roles, ["stream_id", "file_name"]).select("stream_id", "k", "_fields", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("as_new").alias("pair")), F.struct(F.lit(0).alias("side"), F.col("as_old").alias("pair")))).alias("r")).where(F.col("r.pair").isNotNull())
     # one row per record of a pair of files, with its fields on either side
     side = lambda n: F.max(F.when(F.col("r.side") == n, F.col("_fields")))
@@ -242,7 +242,7 @@ def changes(records: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame
 def drift(lines: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The changes of every artifact's files, from the ingested tables."""
     scratch = scratch or Scratch(lines.sparkSession, "drift")
-    parts = [ingest(lines, a).select("stream_id", "file_name", "record_key", "_fields") for a in RECORD_KEYS]
+    parts = [ingest(lines, a).select("stream_id", "file_name", "record_key", "_fields", "_digest") for a in RECORD_KEYS]
     records = parts[0]
     for p in parts[1:]:
         records = records.unionByName(p)

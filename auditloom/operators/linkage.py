@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from auditloom.functions import ledger as L
 from auditloom.functions.text import filled, norm
 from auditloom.operators.components import connected_components
+from auditloom.operators.ordering import with_running
 from auditloom.operators.skew import skew_join
 from auditloom.scratch import Scratch
 
@@ -30,16 +31,17 @@ def exact_groups(records: DataFrame) -> DataFrame:
 
 
 def merge_records(records: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a group: each column from the richest record, blanks filled from the others by record id, with merged ids and sources.
+    """group_id, columns, members: each column from the richest record, blanks filled from the others by record id.
 
-    All by aggregates that combine before the shuffle; only distinct ids and sources are lists.
+    All by aggregates that combine before the shuffle. Which records a group has is in ``groups``, a row each: a
+    list in one row would hold a hot group in one task.
     """
     rich = sum((F.when(norm(c) != "", 1).otherwise(0) for c in columns), F.lit(0))
     latest = records.groupBy("record_id").agg(F.max_by(F.struct(*columns), F.struct("loaded_at", *columns)).alias("r")).select("record_id", "r.*")
     j = skew_join(latest.withColumn("_rich", rich), groups.select("record_id", "group_id").groupBy("record_id").agg(F.min("group_id").alias("group_id")), ["record_id"])
     # richest first, then by id; a blank value never wins over a filled one
     best = [F.min(F.when(norm(c) != "", F.struct((-F.col("_rich")).alias("o"), F.col("record_id").alias("i"), F.trim(c).alias("v"))))["v"].alias(c) for c in columns]
-    return j.groupBy("group_id").agg(*best, F.array_join(F.array_sort(F.collect_set("record_id")), ";").alias("merged_from_ids"), F.count(F.lit(1)).alias("members"))
+    return j.groupBy("group_id").agg(*best, F.count(F.lit(1)).alias("members"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -126,6 +128,17 @@ def threshold_clusters(weights: DataFrame, key: str, threshold: float = 0.23, sc
     ids = weights.select(key).distinct()
     member = ids.join(comp.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    named = sizes.withColumn("cluster_id", F.format_string("C%03d", F.row_number().over(Window.orderBy(F.col("n").desc(), "component"))))
+    ranked = with_running(sizes.select("component", (-F.col("n")).alias("_neg"), F.lit(1).cast("long").alias("_one")), [], ["_neg", "component"], {"rank": ("_one", "sum", True)}, scratch, "ranked")
+    named = ranked.withColumn("cluster_id", F.format_string("C%03d", "rank"))
     links = pairs.select(F.explode(F.array("a", "b")).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("links"))
     return skew_join(member, named.select("component", "cluster_id"), ["component"]).join(links, key, "left").select(key, "cluster_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def cluster_terms(weights: DataFrame, clusters: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """cluster_id, rank, term, weight: the terms of the greatest summed weight in each cluster (ties by term).
+
+    The limit per cluster is applied before the shuffle as well, so a large cluster sends k rows a task.
+    """
+    w = skew_join(weights.select(key, "term", "weight"), clusters.select(key, "cluster_id"), [key]).groupBy("cluster_id", "term").agg(F.sum("weight").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("weight").desc(), "term"))
+    return w.withColumn("rank", rank).where(F.col("rank") <= k).select("cluster_id", "rank", "term", "weight")

@@ -159,3 +159,37 @@ def numbered_names(sections: DataFrame) -> DataFrame:
     """Repeated section names of a document get their number: name (2)."""
     k = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("start"))
     return sections.withColumn("_k", k).withColumn("name", F.when(F.col("_k") > 1, F.concat(F.col("name"), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))).otherwise(F.col("name"))).drop("_k")
+
+
+def anchor_consistency(anchors: DataFrame, paragraphs: DataFrame, claims: DataFrame) -> DataFrame:
+    """anchors(anchor, claim_id, label), paragraphs(anchor, text), claims(claim_id, required_value_tokens).
+
+    Anchors without a paragraph, labels the paragraph doesn't show, one label under several anchors, and
+    required numbers that the anchored paragraph lacks.
+    """
+    j = anchors.join(paragraphs.withColumnRenamed("text", "_t"), "anchor", "left")
+    labels = anchors.where(norm("label") != "").groupBy(F.lower(norm("label")).alias("l")).agg(F.countDistinct("anchor").alias("k")).where("k > 1")
+    need = j.where("_t is not null").join(claims, "claim_id").select("claim_id", F.explode(F.array_except(F.transform("required_value_tokens", lambda x: F.trim(x)), L.numeric_tokens(F.col("_t")))).alias("v")).where("v <> ''")
+    return union([
+        finding(j.where("_t is null"), "error", "no_such_anchor", F.col("claim_id"), F.coalesce("anchor", F.lit(""))),
+        finding(j.where(F.col("_t").isNotNull() & (norm("label") != "") & ~F.lower("_t").contains(F.lower(norm("label")))), "error", "label_not_in_paragraph", F.col("claim_id"), norm("label")),
+        finding(labels, "warning", "label_at_several_anchors", F.col("l"), F.col("k").cast("string")),
+        finding(need, "error", "value_not_at_anchor", F.col("claim_id"), F.col("v")),
+    ])
+
+
+def reporting_contracts(contracts: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """contracts(contract_id, evidence_ids, required_sections, abstract_eligible), claims(claim_id, section, evidence_ids), evidence(evidence_id).
+
+    Unknown evidence, required sections where no claim uses the contract's evidence, and ineligible evidence in the abstract.
+    """
+    need = contracts.select("contract_id", "abstract_eligible", F.explode("evidence_ids").alias("e")).select("contract_id", "abstract_eligible", F.trim("e").alias("e")).where("e <> ''")
+    used = claims.select("claim_id", F.lower(norm("section")).alias("section"), F.explode("evidence_ids").alias("e")).select("claim_id", "section", F.trim("e").alias("e"))
+    told = need.join(used, "e").select("contract_id", "section").distinct()
+    want = contracts.select("contract_id", F.explode("required_sections").alias("s")).select("contract_id", F.lower(F.trim("s")).alias("section"))
+    early = need.where("not abstract_eligible").join(used.where("section = 'abstract'"), "e")
+    return union([
+        finding(need.join(evidence.select(F.trim("evidence_id").alias("e")), "e", "left_anti"), "error", "no_such_evidence", F.col("contract_id"), F.col("e")),
+        finding(want.join(told, ["contract_id", "section"], "left_anti"), "error", "not_reported", F.col("contract_id"), F.col("section")),
+        finding(early, "error", "not_for_the_abstract", F.col("contract_id"), F.col("claim_id")),
+    ])

@@ -202,3 +202,41 @@ def plan_power(plans: DataFrame) -> DataFrame:
     # planning is computing, not reading: even a small table is spread over all cores
     spread = plans.where(F.col("payload").isNotNull()).select("planning_id", "plan_version", "payload").distinct().repartition(2 * plans.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInPandas(each, "planning_id string, plan_version string, item_id string, scenario_id string, type string, solve_for string, n bigint, inflated bigint, power double, effect double, target_met boolean, problem string")
+
+
+# fixed values: what a scenario may change of each type of item
+OVERRIDES = {
+    "welch_two_group_mean": {"mean_difference", "sd_a", "sd_b", "n_a", "n_b", "alpha", "target_power", "attrition_rate"},
+    "paired_mean": {"mean_difference", "sd_difference", "n_pairs", "alpha", "target_power", "attrition_rate"},
+    "welch_contrast": {"contrast_effect", "contrast_terms", "alpha", "target_power", "attrition_rate"},
+    "independent_proportions": {"p_a", "p_b", "n_a", "n_b", "alpha", "target_power", "attrition_rate"},
+}
+
+
+def validate_plan(plan: dict) -> list[tuple[str, str, str]]:
+    """(severity, item, message): repeated ids, unknown types and goals, values out of range, overrides that a scenario may not make."""
+    out: list[tuple[str, str, str]] = []
+    many = lambda v: v if isinstance(v, list) else [v] if isinstance(v, dict) else []
+    seen: set[str] = set()
+    for i, item in enumerate(x for x in many(plan.get("planning_items")) if isinstance(x, dict)):
+        name, kind = str(item.get("planning_item_id") or f"#{i}"), item.get("type")
+        if name in seen:
+            out.append(("error", name, "the id occurs twice"))
+        seen.add(name)
+        if kind not in OVERRIDES:
+            out.append(("error", name, f"unknown type {kind}"))
+            continue
+        if item.get("solve_for") not in ("sample_size", "minimum_detectable_effect", "prospective_power"):
+            out.append(("error", name, "unknown goal"))
+        for key, low, high in (("alpha", 0, 1), ("target_power", 0, 1), ("attrition_rate", -1e-12, 1)):
+            v = item.get(key, plan.get(key))
+            if v is not None and not (_f(v) is not None and low < _f(v) < high):
+                out.append(("error", name, f"{key} is out of range"))
+        for s in (x for x in many(item.get("scenarios")) if isinstance(x, dict)):
+            over = s.get("overrides")
+            over = parse_object(over) if isinstance(over, str) else over
+            for k in sorted(set(over if isinstance(over, dict) else {}) - OVERRIDES[kind]):
+                out.append(("error", name, f"scenario {s.get('scenario_id')} may not change {k}"))
+    if not seen:
+        out.append(("error", "", "the plan has no items"))
+    return out

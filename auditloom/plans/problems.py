@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p1_table(artifact: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        return drift.promote(drift.ingest(table(spark, d, "ledger_files"), artifact).drop("_fields"), PROMOTED[artifact])
+        return drift.promote(drift.ingest(table(spark, d, "ledger_files"), artifact).drop("_fields", "_digest"), PROMOTED[artifact])
 
     return q
 
@@ -165,7 +165,32 @@ _P3 = f"""WITH p AS (SELECT DISTINCT planning_id, plan_version, CAST(payload AS
     UNION ALL SELECT 'term', coalesce(planning_id, ''), coalesce(plan_version, ''), item_id, scenario_id, pos FROM te WHERE regexp_matches(CAST(json_extract(t, '$.weight') AS VARCHAR), '{_JSON_NUMBER}')
     UNION ALL SELECT 'companion', claim_id, '', trim(c.claim_id), '', pos FROM co WHERE trim(c.claim_id) <> '')"""
 
+_P1 = """WITH RECURSIVE src AS (SELECT stream_id, file_name, artifact, min(exported_at) OVER (PARTITION BY file_name) AS ex, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM ledger_files),
+  pairs AS (SELECT stream_id, file_name, lag(file_name) OVER (PARTITION BY stream_id ORDER BY ex, file_name) AS old FROM (SELECT DISTINCT stream_id, file_name, ex FROM src)),
+  rec AS (SELECT stream_id, file_name, j->>(CASE artifact WHEN 'claims' THEN '$.claim_id' WHEN 'workspace_state' THEN '$.project_id' ELSE '$.analysis_id' END) AS k, CAST(max(CAST(j AS VARCHAR)) AS JSON) AS j FROM src WHERE json_type(j) = 'OBJECT' GROUP BY ALL),
+  walk AS (SELECT stream_id, file_name, k, e.key AS path, '' AS parent, e.value AS v, '' AS idx FROM rec, json_each(j) e
+    UNION ALL SELECT w.stream_id, w.file_name, w.k, w.path || CASE json_type(w.v) WHEN 'OBJECT' THEN '.' ELSE '[].' END || e.key, w.path || CASE json_type(w.v) WHEN 'OBJECT' THEN '' ELSE '[]' END, e.value, w.idx || c.i || '/'
+      FROM walk w, LATERAL (SELECT unnest(CASE json_type(w.v) WHEN 'OBJECT' THEN [w.v] ELSE list_filter(json_extract(w.v, '$[*]'), lambda x: json_type(x) = 'OBJECT') END) AS x, generate_subscripts(CASE json_type(w.v) WHEN 'OBJECT' THEN [w.v] ELSE list_filter(json_extract(w.v, '$[*]'), lambda x: json_type(x) = 'OBJECT') END, 1) AS i) c, json_each(c.x) e
+      WHERE json_type(w.v) IN ('OBJECT', 'ARRAY')),
+  typed AS (SELECT *, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS t, CAST(v AS VARCHAR) AS s FROM walk),
+  own AS (SELECT stream_id, file_name, k, path, any_value(parent) AS parent, bool_or(s NOT IN ('null', '""', '[]', '{}')) AS filled FROM typed GROUP BY stream_id, file_name, k, path),
+  vals AS (SELECT a.stream_id, a.file_name, a.k, a.path, a.filled, list_sort(list(substr(b.path, len(a.path) + 1) || '|' || b.idx || '|' || CASE WHEN b.t = 'object' THEN 'O' WHEN b.t = 'array' AND contains(b.s, '{') THEN 'A' ELSE b.s END) FILTER (b.t IS NOT NULL)) AS val
+    FROM own a JOIN typed b ON a.stream_id = b.stream_id AND a.file_name = b.file_name AND a.k = b.k AND (b.path = a.path OR starts_with(b.path, a.path || '.') OR starts_with(b.path, a.path || '[]')) GROUP BY ALL),
+  fld AS (SELECT stream_id, file_name, path, any_value(parent) AS parent, coalesce(list_sort(list(DISTINCT t) FILTER (t IS NOT NULL)), []) AS kinds FROM typed GROUP BY ALL),
+  n AS (SELECT p.stream_id, p.file_name, f.path, f.parent, f.kinds FROM pairs p JOIN fld f USING (stream_id, file_name) WHERE p.old IS NOT NULL),
+  o AS (SELECT p.stream_id, p.file_name, f.path, f.parent, f.kinds FROM pairs p JOIN fld f ON p.stream_id = f.stream_id AND p.old = f.file_name),
+  ch AS (SELECT coalesce(n.stream_id, o.stream_id) AS stream_id, coalesce(n.file_name, o.file_name) AS file_name, coalesce(n.path, o.path) AS path, coalesce(n.parent, o.parent) AS parent, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'type_changed' END AS change
+    FROM n FULL JOIN o ON n.stream_id = o.stream_id AND n.file_name = o.file_name AND n.path = o.path WHERE n.path IS NULL OR o.path IS NULL OR (len(n.kinds) > 0 AND len(o.kinds) > 0 AND n.kinds <> o.kinds)),
+  com AS (SELECT p.stream_id, p.file_name, p.old, a.k FROM pairs p JOIN rec a USING (stream_id, file_name) JOIN rec b ON p.stream_id = b.stream_id AND p.old = b.file_name AND a.k = b.k),
+  sig AS (SELECT c.stream_id, c.file_name, c.path, c.parent, c.change, list_sort(list(v.k || '=' || CAST(v.val AS VARCHAR)) FILTER (v.val IS NOT NULL)) AS sig FROM ch c JOIN com USING (stream_id, file_name) JOIN vals v ON v.stream_id = c.stream_id AND v.k = com.k AND v.path = c.path AND v.file_name = CASE c.change WHEN 'added' THEN c.file_name ELSE com.old END WHERE c.change <> 'type_changed' GROUP BY ALL HAVING bool_or(v.filled)),
+  pr AS (SELECT a.stream_id, a.file_name, a.path AS field, r.path AS old_field, count(*) OVER (PARTITION BY a.stream_id, a.file_name, a.path) AS x, count(*) OVER (PARTITION BY a.stream_id, a.file_name, r.path) AS y FROM sig a JOIN sig r USING (stream_id, file_name, parent, sig) WHERE a.change = 'added' AND r.change = 'removed'),
+  ren AS (SELECT * FROM pr WHERE x = 1 AND y = 1),
+  al AS (SELECT stream_id, file_name, field, old_field, 'renamed' AS change FROM ren
+    UNION ALL SELECT stream_id, file_name, path, '', change FROM ch WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.stream_id = ch.stream_id AND ren.file_name = ch.file_name AND ((ch.change = 'added' AND ren.field = ch.path) OR (ch.change = 'removed' AND ren.old_field = ch.path))))
+  SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.stream_id = al.stream_id AND ch.file_name = al.file_name AND (starts_with(al.field, ch.path || '.') OR starts_with(al.field, ch.path || '[]')))"""
+
 SQL = {
+    "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": _p4_sql(),
     "p5_found": _P5,

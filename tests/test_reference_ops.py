@@ -151,6 +151,25 @@ def test_power():
     assert power.plan_item({"type": "paired_mean"}, {})["problem"] and power.sparsity(0.01, 0.5, 50, 50) == "poor"
 
 
+def test_power_plan_validation():
+    plan = {"alpha": 2, "planning_items": [{"planning_item_id": "a", "type": "paired_mean", "solve_for": "sample_size", "scenarios": {"scenario_id": "s", "overrides": '{"sd_a": 1, "n_pairs": 4}'}}, {"planning_item_id": "a", "type": "odd"}]}
+    assert [m for _, _, m in power.validate_plan(plan)] == ["alpha is out of range", "scenario s may not change sd_a", "the id occurs twice", "unknown type odd"]
+    assert power.validate_plan({}) == [("error", "", "the plan has no items")]
+
+
+def test_bootstrap_and_cohort(spark):
+    rnd = random.Random(11)
+    data = [(x, 0.8 * x + rnd.gauss(0, 0.5)) for x in (rnd.gauss(0, 1) for _ in range(600))] + [(None, 1.0), (1.0, math.nan)]
+    df = spark.createDataFrame(data, "x double, y double")
+    c = stats.bootstrap_moments(df, "x", "y", "correlation").collect()[0]
+    p = stats.bootstrap_moments(df, "x", "y", "paired_difference").collect()[0]
+    m = stats.bootstrap_mean(df, "x").collect()[0]
+    assert c.ci_low < c.estimate < c.ci_high and 0.75 < c.estimate < 0.92 and c.ci_high - c.ci_low < 0.1
+    assert p.ci_low < p.estimate < p.ci_high and m.ci_low < m.estimate < m.ci_high
+    assert stats.bootstrap_moments(df, "x", "y", "correlation", resamples=50).collect()[0].ci_low is None
+    assert stats.model_cohort(df, ["x", "y"]).count() == 600
+
+
 # ---- typed identity and cleaning
 
 def test_typed_levels(spark):
@@ -200,7 +219,7 @@ def test_exact_groups_and_merge(spark):
     g = linkage.exact_groups(r)
     assert {x.record_id: x.group_id for x in g.collect()} == {"a": "a", "b": "a", "c": "c", "d": "c"}
     m = {x.group_id: x for x in linkage.merge_records(r, g, ["title", "year", "venue", "doi"]).collect()}
-    assert (m["a"].title, m["a"].year, m["a"].venue, m["a"].merged_from_ids, m["a"].members) == ("T", "2020", "V", "a;b", 2)
+    assert (m["a"].title, m["a"].year, m["a"].venue, m["a"].members) == ("T", "2020", "V", 2)
 
 
 def test_fuzzy_pairs_against_all_pairs(spark):
@@ -312,6 +331,20 @@ def test_manuscript_audits(spark):
     assert {r[:2] for r in rules(manuscript.obligations(ob, ch))} == {("closed_without_change", "o1"), ("no_such_change", "o2"), ("action_not_done", "o1"), ("action_not_done", "o2")}
 
 
+def test_anchors_contracts_and_cluster_terms(spark):
+    anchors = spark.createDataFrame([("p1", "a", "Fig. 2"), ("p2", "b", "Fig. 2"), ("p9", "c", None)], "anchor string, claim_id string, label string")
+    paras = spark.createDataFrame([("p1", "See fig. 2: 5.1 rose"), ("p2", "nothing")], "anchor string, text string")
+    claims = spark.createDataFrame([("a", ["5.1", "7"]), ("b", [])], "claim_id string, required_value_tokens array<string>")
+    assert {r[:2] for r in rules(manuscript.anchor_consistency(anchors, paras, claims))} == {("no_such_anchor", "c"), ("label_not_in_paragraph", "b"), ("label_at_several_anchors", "fig. 2"), ("value_not_at_anchor", "a")}
+    con = spark.createDataFrame([("k", ["e1", "gone"], ["Results", "Methods"], False)], "contract_id string, evidence_ids array<string>, required_sections array<string>, abstract_eligible boolean")
+    cl = spark.createDataFrame([("a", "results", ["e1"]), ("b", "Abstract", [" e1"])], "claim_id string, section string, evidence_ids array<string>")
+    ev = spark.createDataFrame([("e1",)], "evidence_id string")
+    assert {r[:2] + r[2:] for r in rules(manuscript.reporting_contracts(con, cl, ev))} == {("no_such_evidence", "k", "gone"), ("not_reported", "k", "methods"), ("not_for_the_abstract", "k", "b")}
+    w = spark.createDataFrame([("d1", "x", 0.5), ("d1", "y", 0.4), ("d2", "y", 0.4), ("d3", "z", 1.0)], "k string, term string, weight double")
+    c = spark.createDataFrame([("d1", "C001"), ("d2", "C001"), ("d3", "C002")], "k string, cluster_id string")
+    assert sorted((r.cluster_id, r.rank, r.term) for r in linkage.cluster_terms(w, c, "k", 1).collect()) == [("C001", 1, "y"), ("C002", 1, "z")]
+
+
 def test_hashing(spark):
     h = [r.h for r in spark.createDataFrame([('{"b": 1, "a": [1, 2]}',), ('{"a":[1,2],"b":1}',), ("x",), (None,)], "j string").select(hashing.canonical_hash(F.col("j")).alias("h")).collect()]
     assert h[0] == h[1] and h[2] is None and h[3] is None
