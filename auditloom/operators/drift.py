@@ -36,7 +36,8 @@ TARGETS = {
 }
 
 _KINDS = {str: 1, int: 2, float: 2, bool: 4, list: 8, dict: 16}
-_FIELDS = "array<struct<path:string,parent:string,kinds:int,h1:bigint,h2:bigint,filled:boolean>>"
+#: plen is the length of the parent path at the head of path; h is the digest of the value.
+_FIELDS = "array<struct<path:string,plen:int,kinds:int,h:bigint,filled:boolean>>"
 
 
 def _no_constant(_: str) -> None:
@@ -146,8 +147,8 @@ def ingest(lines: DataFrame, artifact: str, target: dict[str, str] | None = None
                 fields = []
                 for path, (parent, kinds, v) in field_inventory(record).items():
                     blank = v is None or (isinstance(v, list) and all(x is None for x in v) and "[]" in path)
-                    h1, h2 = (None, None) if blank else digests(json.dumps(_even(v), sort_keys=True))
-                    fields.append({"path": path, "parent": parent, "kinds": kinds, "h1": h1, "h2": h2, "filled": not _empty(v)})
+                    h = None if blank else digests(json.dumps(_even(v), sort_keys=True))[0]
+                    fields.append({"path": path, "plen": len(parent), "kinds": kinds, "h": h, "filled": not _empty(v)})
                 k = record.get(key)
                 k = None if k is None or isinstance(k, (list, dict)) else k if isinstance(k, str) else json.dumps(k)
                 rows.append((stream, name, at, k, *typed, json.dumps(rescued, sort_keys=True, ensure_ascii=False) if rescued else None, fields, *digests(json.dumps(record, sort_keys=True))))
@@ -206,18 +207,18 @@ def changes(records: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame
     common = F.col("new").isNotNull() & F.col("old").isNotNull()
     each = matched.select("stream_id", "file_name", "k", common.alias("both"), F.explode(F.concat(tag("new", 1), tag("old", 0))).alias("e")).select("stream_id", "file_name", "k", "both", "e.side", "e.f.*")
     at = lambda n: F.col("side") == n
-    kept = F.col("both") & F.col("h1").isNotNull()
+    kept = F.col("both") & F.col("h").isNotNull()
     aggs = []
     for n, s in ((1, "new"), (0, "old")):
         aggs += [
             F.max(at(n)).alias(f"in_{s}"),
             F.coalesce(F.bit_or(F.when(at(n), F.col("kinds"))), F.lit(0)).alias(f"kinds_{s}"),
-            F.coalesce(F.bit_xor(F.when(at(n) & kept, F.xxhash64("h1", "h2", "k"))), F.lit(0)).alias(f"x1_{s}"),
-            F.coalesce(F.bit_xor(F.when(at(n) & kept, F.xxhash64(F.lit("second"), "h2", "h1", "k"))), F.lit(0)).alias(f"x2_{s}"),
+            F.coalesce(F.bit_xor(F.when(at(n) & kept, F.xxhash64("h", "k"))), F.lit(0)).alias(f"x1_{s}"),
+            F.coalesce(F.bit_xor(F.when(at(n) & kept, F.xxhash64(F.lit("second"), "h", "k"))), F.lit(0)).alias(f"x2_{s}"),
             F.count(F.when(at(n) & kept, 1)).alias(f"n_{s}"),
             F.coalesce(F.max(at(n) & F.col("both") & F.col("filled")), F.lit(False)).alias(f"filled_{s}"),
         ]
-    state = each.groupBy("stream_id", "file_name", "path", "parent").agg(*aggs)
+    state = each.groupBy("stream_id", "file_name", "path", "plen").agg(*aggs).withColumn("parent", F.substring("path", 1, F.col("plen")))
     change = F.when(F.col("in_new") & ~F.col("in_old"), "added").when(~F.col("in_new") & F.col("in_old"), "removed").when((F.col("kinds_new") != 0) & (F.col("kinds_old") != 0) & (F.col("kinds_new") != F.col("kinds_old")), "type_changed")
     changed = scratch.write(state.withColumn("change", change).where(F.col("change").isNotNull()), "changed")
 
