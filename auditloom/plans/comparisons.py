@@ -308,3 +308,10 @@ def analysis_plan(s: SparkSession, d: str) -> DataFrame:
     from auditloom.plans import analysis
 
     return analysis.run(table(s, d, "orders"), ORDERS_PLAN)
+
+
+@query("median_intervals")
+def median_intervals(s: SparkSession, d: str) -> DataFrame:
+    from auditloom.operators.quantiles import median_intervals as intervals
+
+    return intervals(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice")

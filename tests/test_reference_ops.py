@@ -65,6 +65,19 @@ def test_quantiles_and_skew_join(spark):
     assert sorted(map(repr, skew.skew_join(left, right, ["k"], "left").collect())) == sorted(map(repr, left.join(right, "k", "left").collect()))
 
 
+def test_median_intervals_match_resampling(spark):
+    rnd = random.Random(12)
+    v = [rnd.expovariate(1) for _ in range(61)]
+    df = spark.createDataFrame([("g", x) for x in v] + [("one", 3.0), ("g", None)], "g string, v double")
+    got = {r.g: r for r in quantiles.median_intervals(df, ["g"], "v").collect()}
+    boot = sorted(statistics.median(rnd.choices(v, k=61)) for _ in range(4000))
+    s = sorted(v)
+    rank = lambda x: min(range(61), key=lambda i: abs(s[i] - x))
+    assert abs(rank(got["g"].ci_low) - rank(boot[100])) <= 1 and abs(rank(got["g"].ci_high) - rank(boot[3899])) <= 1
+    assert (got["g"].n, got["one"].ci_low, got["one"].ci_high) == (61, 3.0, 3.0)
+    assert quantiles.median_intervals(df.limit(0), ["g"], "v").count() == 0
+
+
 # ---- distributions and comparisons
 
 def test_distributions():
