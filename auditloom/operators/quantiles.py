@@ -24,7 +24,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, floa
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     run = scratch.write(with_running_sum(clean, group, ["_v"], "_c", scratch, f"{name}_sorted", "_upto"), name)
     total = run.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    at = run.join(total, group) if group else run.join(F.broadcast(total))
+    at = run.join(total, group) if group else run.withColumn("_n", total.scalar())
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1  # 0-based positions that hold the value
     out = []
     for c, p in probs.items():
@@ -75,6 +75,6 @@ def median_intervals(df: DataFrame, group: list[str], value: str, level: float =
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     run = scratch.write(with_running_sum(clean, group, ["_v"], "_c", scratch, f"{name}_sorted", "_upto"), name)
     total = run.groupBy(*group).agg(F.sum("_c").alias("n")).withColumn("_p", _median_positions("n", F.lit(level)))
-    at = run.join(total, group) if group else run.join(F.broadcast(total))
+    at = run.join(total, group) if group else run.withColumn("_t", total.select(F.struct("*")).scalar()).select("*", "_t.*").drop("_t")
     holds = lambda k: (F.col("_upto") - F.col("_c") < k) & (k <= F.col("_upto"))
     return at.groupBy(*group).agg(F.max("n").alias("n"), F.max(F.when(holds(F.col("_p.low")), F.col("_v"))).alias("ci_low"), F.max(F.when(holds(F.col("_p.high")), F.col("_v"))).alias("ci_high"))

@@ -143,8 +143,8 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     n = cells.agg(F.sum("o").alias("n"), F.countDistinct("r").alias("nr"), F.countDistinct("c").alias("nc"))
     # sum over all cells of (o-e)^2/e = n * (sum over observed cells of o^2/(row*col) - 1): empty cells need no rows
     s = cells.join(rows, "r").join(cols, "c").agg(F.sum(F.col("o") * F.col("o") / (F.col("ro") * F.col("co"))).alias("q"))
-    least = rows.agg(F.min("ro").alias("r0")), cols.agg(F.min("co").alias("c0"))
-    one = s.join(n).join(least[0]).join(least[1])  # single rows
+    # single rows become columns of the one row, so nothing is joined
+    one = s.withColumn("_t", n.select(F.struct("*")).scalar()).withColumn("r0", rows.agg(F.min("ro")).scalar()).withColumn("c0", cols.agg(F.min("co")).scalar()).select("q", "_t.*", "r0", "c0")
     k = F.least("nr", "nc") - 1
     stat = F.col("n") * (F.col("q") - 1)
     return one.select("n", F.col("nr").alias("rows"), F.col("nc").alias("cols"), stat.alias("statistic"), ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("double").alias("df"), F.sqrt(stat / (F.col("n") * k)).alias("effect_size"), (F.col("r0") * F.col("c0") / F.col("n")).alias("least_expected"))
@@ -318,7 +318,7 @@ def bootstrap_mean(df: DataFrame, y: str, resamples: int = 200, seed: int = 42,
     sums = v.mapInPandas(each, "r int, t double, w double").groupBy("r").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).where("w > 0").select((F.col("t") / F.col("w")).alias("m"))
     a = (1 - level) / 2
     boot = sums.agg(F.percentile("m", a).alias("ci_low"), F.percentile("m", 1 - a).alias("ci_high"), F.count("m").alias("valid"))
-    return v.agg(F.avg("v").alias("estimate")).join(boot)
+    return v.agg(F.avg("v").alias("estimate")).withColumn("_b", boot.select(F.struct("*")).scalar()).select("estimate", "_b.*")
 
 
 def bootstrap_moments(df: DataFrame, x: str, y: str, statistic: str, resamples: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
@@ -350,7 +350,7 @@ def bootstrap_moments(df: DataFrame, x: str, y: str, statistic: str, resamples:
     boot = s.select(stat.alias("m")).where("m is not null and not isnan(m)").agg(F.percentile("m", a).alias("lo"), F.percentile("m", 1 - a).alias("hi"), F.count("m").alias("valid"))
     enough = F.col("valid") >= max(100, resamples // 20)
     own = v.agg((F.corr("x", "y") if statistic == "correlation" else F.avg(F.col("y") - F.col("x"))).alias("estimate"))
-    return own.join(boot).select("estimate", F.when(enough, F.col("lo")).alias("ci_low"), F.when(enough, F.col("hi")).alias("ci_high"), "valid")
+    return own.withColumn("_b", boot.select(F.struct("*")).scalar()).select("estimate", "_b.*").select("estimate", F.when(enough, F.col("lo")).alias("ci_low"), F.when(enough, F.col("hi")).alias("ci_high"), "valid")
 
 
 def model_cohort(df: DataFrame, columns: list[str]) -> DataFrame:

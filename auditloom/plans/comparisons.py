@@ -267,7 +267,7 @@ def sensitivity_delta(s: SparkSession, d: str) -> DataFrame:
     base = _welch_orders(s, d).select(F.col("estimate").alias("base_estimate"))
     kept = clean.exclude_any(table(s, d, "orders"), [("o_orderpriority", "eq", "5-LOW")])
     other = stats.welch(kept, "o_orderstatus", "o_totalprice", "F", "O").select("estimate")
-    return rounded(base.join(other).select("base_estimate", "estimate", (F.col("estimate") - F.col("base_estimate")).alias("delta")), 4)
+    return rounded(base.withColumn("estimate", other.scalar()).select("base_estimate", "estimate", (F.col("estimate") - F.col("base_estimate")).alias("delta")), 4)
 
 
 @query("bootstrap_mean")
