@@ -32,7 +32,7 @@ _CHUNK = "series string, snapshot string, digest binary, rows array<struct<secti
 
 
 def cut(batches: Iterator[pd.DataFrame], chunk_rows: int = CHUNK_ROWS) -> Iterator[pd.DataFrame]:
-    """Sorted rows (series, snapshot, section, entry, value) to chunks."""
+    """Sorted rows (series, snapshot, section, entry, value) to chunks; a row equal to the one before it, as when a delivery is there twice, counts once."""
     names = ["series", "snapshot", "digest", "rows"]
     at, rows = None, []
 
@@ -49,6 +49,8 @@ def cut(batches: Iterator[pd.DataFrame], chunk_rows: int = CHUNK_ROWS) -> Iterat
     for b in batches:
         out: list[tuple] = []
         for series, snap, s, e, v in b.itertuples(index=False, name=None):
+            if at == (series, snap) and rows[-1] == (s, e, v):
+                continue
             edge = xxhash.xxh64_intdigest(f"{s}\u0001{e}".encode("utf-8", "surrogatepass")) % chunk_rows == 0
             if at != (series, snap) or edge:
                 out += close()
@@ -68,7 +70,7 @@ def snapshot_changes(entries: DataFrame, snapshots: DataFrame, scratch: Scratch,
     roles = order.select("series", F.explode(F.array(F.struct(F.col("snapshot").alias("s"), F.lit(True).alias("new"), F.col("snapshot").alias("pair")), F.struct(F.col("previous").alias("s"), F.lit(False).alias("new"), F.col("snapshot").alias("pair")))).alias("r"))
     roles = roles.groupBy("series", F.col("r.s").alias("snapshot")).agg(F.max(F.when(F.col("r.new"), F.col("r.pair"))).alias("as_new"), F.max(F.when(~F.col("r.new"), F.col("r.pair"))).alias("as_old"))
     by = ["series", "snapshot", "section", "entry"]
-    chunks = scratch.write(entries.select(*by, "value").repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(lambda b: cut(b, chunk_rows), _CHUNK), "chunks")
+    chunks = scratch.write(entries.select(*by, "value").repartitionByRange(*by).sortWithinPartitions(*by, "value").mapInPandas(lambda b: cut(b, chunk_rows), _CHUNK), "chunks")
     # every chunk serves as its snapshot's and as the next one's earlier state
     both = F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("as_new").alias("pair")), F.struct(F.lit(False).alias("new"), F.col("as_old").alias("pair"))))
     sided = skew_join(chunks.select("series", "snapshot", "digest"), roles, ["series", "snapshot"]).select("series", "snapshot", "digest", both.alias("r")).where("r.pair is not null").select("series", "snapshot", "digest", "r.*")

@@ -237,3 +237,20 @@ def test_workspace_changes(spark, rows):
     assert [r for r in got if r[1] == "2"] == [("P", "2", "files", "n", "changed"), ("P", "2", "records.claims", "c", "removed"), ("P", "2", "source_files", "S", "added")]
     assert {r[4] for r in got if r[1] == "3"} == {"removed"} and not [r for r in got if r[0] == "Q"]
     assert rows(snapshots.workspace_changes(df.limit(0))) == []
+
+
+@pytest.mark.parametrize("chunk", [2, 8])
+def test_snapshots_delivered_twice(spark, chunk, monkeypatch):
+    """Every delivery there twice or three times, while neighbours gain and lose entries: what stays the same is no change."""
+    monkeypatch.setattr(snapshots.snapshot_changes, "__defaults__", (chunk,))
+    rnd = random.Random(chunk)
+    states, out = [], []
+    e = {f"k{i}": "v" for i in range(40)}
+    for n in range(10):
+        for _ in range(8):
+            e[f"k{rnd.randrange(60)}"] = rnd.choice(["v", "w", None])
+            e.pop(rnd.choice(sorted(e)), None)
+        states.append(("P", f"s{n}", day(n), {("files", k): v for k, v in e.items()}))
+        out += [("P", f"s{n}", day(n), day(n), json.dumps({"files": e}))] * (1 + n % 3)
+    got = snapshots.workspace_changes(spark.createDataFrame(out, STATES)).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == brute_changes(states)
