@@ -8,7 +8,9 @@ digest in ``_fields``, from which ``changes`` derives what differs from file to
 
 Defined results: an unreadable line (null, blank, broken JSON, no object) gives no row; a repeated
 delivery of a file, or a repeated record in a file, gives its rows once; a record without key takes part
-in field presence and types but in no comparison of values; an empty table gives empty results;
+in field presence and types but in no comparison of values; lines of one file with the same key and other
+content all count: a field is there when any line has it, its types are those of all lines, and a rename needs
+the same set of values for each key on either side; an empty table gives empty results;
 columns of the input other than the ones named are ignored.
 """
 
@@ -200,12 +202,20 @@ def changes(records: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame
     slim = records.select("stream_id", "file_name", F.coalesce(F.concat(F.lit("="), F.col("record_key")), F.concat(F.lit("?"), F.col("file_name"), F.lit("/"), F.col("_digest"))).alias("k"), "_fields")
     both = skew_join(slim, roles, ["stream_id", "file_name"]).select("stream_id", "k", "_fields", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("as_new").alias("pair")), F.struct(F.lit(0).alias("side"), F.col("as_old").alias("pair")))).alias("r")).where(F.col("r.pair").isNotNull())
     # one row per record of a pair of files, with its fields on either side
+    keys = ["stream_id", F.col("r.pair").alias("file_name"), "k"]
     side = lambda n: F.max(F.when(F.col("r.side") == n, F.col("_fields")))
-    matched = both.groupBy("stream_id", F.col("r.pair").alias("file_name"), "k").agg(side(1).alias("new"), side(0).alias("old"))
+    count = lambda n: F.count(F.when(F.col("r.side") == n, 1))
+    matched = both.groupBy(*keys).agg(side(1).alias("new"), side(0).alias("old"), F.greatest(count(1), count(0)).alias("lines")).where("lines = 1")
     none = F.from_json(F.lit("[]"), _FIELDS)
     tag = lambda c, n: F.transform(F.coalesce(F.col(c), none), lambda x: F.struct(F.lit(n).alias("side"), x.alias("f")))
     common = F.col("new").isNotNull() & F.col("old").isNotNull()
     each = matched.select("stream_id", "file_name", "k", common.alias("both"), F.explode(F.concat(tag("new", 1), tag("old", 0))).alias("e")).select("stream_id", "file_name", "k", "both", "e.side", "e.f.*")
+    # keys with several lines in a file: every line's fields, equal values of a key once
+    several = scratch.write(both.groupBy(*keys).agg((F.least(count(1), count(0)) > 0).alias("both"), F.greatest(count(1), count(0)).alias("lines")).where("lines > 1").drop("lines"), "several")
+    if several.limit(1).collect():
+        all_ = skew_join(both.select(*keys, F.col("r.side").alias("side"), "_fields"), several, ["stream_id", "file_name", "k"])
+        all_ = all_.select("stream_id", "file_name", "k", "both", "side", F.explode("_fields").alias("f")).select("stream_id", "file_name", "k", "both", "side", "f.*")
+        each = each.unionByName(all_.groupBy("stream_id", "file_name", "k", "both", "side", "path", "plen", "h").agg(F.bit_or("kinds").alias("kinds"), F.max("filled").alias("filled")))
     at = lambda n: F.col("side") == n
     kept = F.col("both") & F.col("h").isNotNull()
     aggs = []

@@ -60,6 +60,23 @@ def test_drift_true_is_not_one_and_redelivery_counts_once(spark, rows):
     assert rows(drift.drift(again)) == []
 
 
+def test_drift_counts_every_line_of_a_key(spark, rows):
+    one, two = {"claim_id": "1", "x": 1, "old": "v"}, {"claim_id": "1", "x": "t", "y": 1, "old": "w"}
+    a, b = {"claim_id": "2", "x": 1, "y": 1, "old": "v"}, {"claim_id": "2", "x": 1, "z": 1, "old": "v"}
+    # x is number and string before and number after; y and z are each in one line only
+    got = rows(drift.drift(lines(spark, [("f1", 1, [one, two, a, b]), ("f2", 2, [{"claim_id": "1", "x": 2, "old": "v"}])])))
+    assert got == [("s", "f2", "x", "", "type_changed"), ("s", "f2", "y", "", "removed"), ("s", "f2", "z", "", "removed")]
+    got = rows(drift.drift(lines(spark, [("f1", 1, [{"claim_id": "1", "x": 2, "old": "v"}]), ("f2", 2, [one, two, a, b])])))
+    assert got == [("s", "f2", "x", "", "type_changed"), ("s", "f2", "y", "", "added"), ("s", "f2", "z", "", "added")]
+    # a rename has the same values on all lines of a key
+    new = [{("new" if k == "old" else k): v for k, v in r.items()} for r in (one, two, a, b)]
+    assert rows(drift.drift(lines(spark, [("f1", 1, [one, two, a, b]), ("f2", 2, new)]))) == [("s", "f2", "new", "old", "renamed")]
+    new[1]["new"] = "other"
+    assert rows(drift.drift(lines(spark, [("f1", 1, [one, two, a, b]), ("f2", 2, new)]))) == [("s", "f2", "new", "", "added"), ("s", "f2", "old", "", "removed")]
+    # two equal values of one key don't cancel out
+    assert rows(drift.drift(lines(spark, [("f1", 1, [a, b]), ("f2", 2, [{"claim_id": "2", "x": 1, "y": 1, "new": "q"}, {"claim_id": "2", "x": 1, "z": 1, "new": "q"}])]))) == [("s", "f2", "new", "", "added"), ("s", "f2", "old", "", "removed")]
+
+
 def test_drift_records_without_key_and_empty(spark, rows):
     a, b = {"x": 1}, {"y": 1}
     assert len(rows(drift.drift(lines(spark, [("f1", 1, [a]), ("f2", 2, [b])])))) == 2
