@@ -88,6 +88,22 @@ def _by_component(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(traverse(links), columns=names)
 
 
+def _closing(ring: DataFrame, n: int, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, back: the parent of each circle's smallest node, and that node, which the traversal enters first.
+
+    ring(id, anc) has the n nodes on or below circles and a same number of steps up for all. The steps are doubled until no fewer
+    nodes are reached: those are on circles. A component has one circle at most, as each node has one parent.
+    """
+    k, reached = 0, ring.select("anc").distinct().count()
+    while reached != n:
+        n, k = reached, k + 1
+        ring = scratch.write(skew_join(ring, ring.select(F.col("id").alias("anc"), F.col("anc").alias("up")), ["anc"]).select("id", F.col("up").alias("anc")), f"ring{k}")
+        reached = ring.select("anc").distinct().count()
+        scratch.drop(f"ring{k - 1}")
+    on = ring.select(F.col("anc").alias("child")).distinct()
+    return links.join(on, "child").groupBy("component").agg(F.min(F.struct("child", "parent")).alias("l")).select(F.col("l.parent").alias("id"), F.col("l.child").alias("back"))
+
+
 def _doubling(links: DataFrame, scratch: Scratch) -> DataFrame:
     """The same rows for components of any size: after k rounds each node knows its 2^k nearest ancestors."""
     nodes = links.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
@@ -103,9 +119,10 @@ def _doubling(links: DataFrame, scratch: Scratch) -> DataFrame:
         nxt = nxt.select("id", F.when(go, F.col("up")).alias("anc"), F.when(go, F.col("up_root")).otherwise(F.col("root")).alias("root"), F.when(go, F.col("depth") + F.col("up_depth")).otherwise(F.col("depth")).alias("depth"), F.when(go, F.concat_ws("/", "up_path", "path")).otherwise(F.col("path")).alias("path"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         s = scratch.write(nxt, f"d{k}")
         scratch.drop(f"d{k - 1}")
+    s = s.join(_closing(s.where("anc is not null").select("id", "anc"), now, links, scratch), "id", "left") if now else s.withColumn("back", F.lit(None).cast("string"))
     ok = F.col("anc").isNull()
     pick = lambda a, b: F.when(ok, a).otherwise(F.lit(b))
-    return s.select("id", pick(F.col("root"), "").alias("root_id"), pick(F.col("depth"), -1).alias("depth"), pick(F.col("path"), "").alias("path"), pick(F.col("size") - 1, -1).alias("descendants"), pick(F.lit(0), 1).cast("long").alias("cyclic"), F.lit(None).cast("string").alias("back_edge_to"))
+    return s.select("id", pick(F.col("root"), "").alias("root_id"), pick(F.col("depth"), -1).alias("depth"), pick(F.col("path"), "").alias("path"), pick(F.col("size") - 1, -1).alias("descendants"), pick(F.lit(0), 1).cast("long").alias("cyclic"), F.col("back").alias("back_edge_to"))
 
 
 def hierarchy(links: DataFrame, scratch: Scratch | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -121,7 +138,7 @@ def hierarchy(links: DataFrame, scratch: Scratch | None = None, max_nodes: int =
     small = placed.join(large, "component", "left_anti") if any_large else placed
     out = small.select("component", "child", "parent").repartition("component").sortWithinPartitions("component", "child").mapInPandas(_by_component, _OUT)
     if any_large:
-        out = out.unionByName(_doubling(placed.join(large, "component", "left_semi").select("child", "parent"), scratch))
+        out = out.unionByName(_doubling(placed.join(large, "component", "left_semi").select("component", "child", "parent"), scratch))
     return out
 
 

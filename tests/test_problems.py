@@ -200,6 +200,27 @@ def test_hierarchy_against_brute_force(spark, limit):
     assert all(got[k].descendants == (-1 if w[3] else below[k]) for k, w in want.items())
 
 
+@pytest.mark.parametrize("limit", [3, 100_000])
+def test_back_edges_of_components_of_any_size(spark, limit):
+    """Circles of 1 to 20 nodes with trees and a long chain below them, beside trees without a circle."""
+    rnd = random.Random(5)
+    links, want = [], set()
+    for n, size in enumerate([1, 2, 3, 7, 20]):
+        names = rnd.sample(range(100, 1000), size + 60)
+        ids = [f"{n}-{x}" for x in names]
+        ring = ids[:size]
+        up = dict(zip(ring, ring[1:] + ring[:1]))
+        for i in range(size, len(ids)):
+            up[ids[i]] = ids[i - 1] if n % 2 and i > size + 25 else ids[rnd.randrange(i)]
+        links += up.items()
+        want.add((up[min(ring)], min(ring)))
+    links += [(f"t{i}", f"t{rnd.randrange(i)}") for i in range(1, 40)]
+    df = spark.createDataFrame(links, "child string, parent string")
+    got = hierarchy.hierarchy(df, max_nodes=limit).collect()
+    assert len(got) == len({x for l in links for x in l})
+    assert {(r.id, r.back_edge_to) for r in got if r.back_edge_to is not None} == want
+
+
 def test_back_edges_and_empty(spark, rows):
     df = spark.createDataFrame([("a", "b"), ("b", "a"), ("s", "s")], "child string, parent string")
     assert {(r.id, r.back_edge_to) for r in hierarchy.hierarchy(df).collect() if r.back_edge_to} == {("b", "a"), ("s", "s")}
