@@ -177,15 +177,21 @@ def is_number(json_text: Column) -> Column:
     return F.coalesce(json_text.rlike(JSON_NUMBER_TEXT), F.lit(False))
 
 
+#: The elements that ``nested_parts`` reads, fixed so that no document can change another one's tables.
+PLAN_GRAPH = [("plan", "planning_items", True), ("planning_items", "scenarios", True), ("planning_items", "contrast_terms", True), ("scenarios", "overrides", False), ("overrides", "contrast_terms", True)]
+_SCENARIO = r"^\$\.planning_items\[\d+\]\.scenarios\[\d+\]$"
+_TERM = r"^\$\.planning_items\[\d+\]\.(scenarios\[\d+\]\.overrides\.)?contrast_terms\[\d+\]$"
+
+
 def nested_parts(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Scenario overrides, contrast terms and companion claims with their parents' keys and positions."""
-    rows = shred(plans, "payload", ["planning_id", "plan_version"], "plan", {"planning_items": "planning_item_id", "scenarios": "scenario_id"}, frozenset({"overrides"}))
+    rows = shred(plans, "payload", ["planning_id", "plan_version"], "plan", {"planning_items": "planning_item_id", "scenarios": "scenario_id"}, frozenset({"overrides"}), PLAN_GRAPH)
     text = lambda c: F.coalesce(c, F.lit(""))
     key = lambda e: text(F.col("parent_keys")[e])
     scenario = F.get_json_object(F.concat(F.lit('{"v":'), F.col("columns")["scenario_id"], F.lit("}")), "$.v")
-    of = lambda kind, sid: rows.select(F.lit(kind).alias("kind"), text(F.col("planning_id")).alias("root_id"), text(F.col("plan_version")).alias("plan_version"), key("planning_items").alias("item_id"), text(sid).alias("scenario_id"), "pos", "element", "columns", "parent_element")
-    override = of("override", scenario).where((F.col("element") == "scenarios") & (F.col("parent_element") == "planning_items") & is_number(F.col("columns")["overrides.mean_difference"]))
-    term = of("term", F.col("parent_keys")["scenarios"]).where((F.col("element") == "contrast_terms") & F.col("parent_element").isin("planning_items", "scenarios") & is_number(F.col("columns")["weight"]))
+    of = lambda kind, sid: rows.select(F.lit(kind).alias("kind"), text(F.col("planning_id")).alias("root_id"), text(F.col("plan_version")).alias("plan_version"), key("planning_items").alias("item_id"), text(sid).alias("scenario_id"), "pos", "element", "columns", "parent_element", "node")
+    override = of("override", scenario).where((F.col("element") == "scenarios") & (F.col("parent_element") == "planning_items") & F.col("node").rlike(_SCENARIO) & is_number(F.col("columns")["overrides.mean_difference"]))
+    term = of("term", F.col("parent_keys")["scenarios"]).where((F.col("element") == "contrast_terms") & F.col("parent_element").isin("planning_items", "scenarios") & F.col("node").rlike(_TERM) & is_number(F.col("columns")["weight"]))
     names = ["kind", "root_id", "plan_version", "item_id", "scenario_id", "pos"]
     companions = shred_typed(claims.select("claim_id", "required_companions").withColumn("required_companions", F.transform("required_companions", lambda x: F.struct(F.trim(x["claim_id"]).alias("companion_id"), x["scope"].alias("scope")))), ["claim_id"])["required_companions"]
     companion = companions.where("companion_id <> ''").select(F.lit("companion").alias("kind"), text(F.col("claim_id")).alias("root_id"), F.lit("").alias("plan_version"), F.col("companion_id").alias("item_id"), F.lit("").alias("scenario_id"), "pos")

@@ -115,6 +115,26 @@ def test_nested_parts(spark, rows):
     assert rows(shred.nested_parts(clash(plans), clash(claims))) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("odd", [
+    {"planning_items": {"planning_item_id": "o", "scenarios": [{"scenario_id": "x", "overrides": [{"mean_difference": 1, "contrast_terms": [{"weight": 1}]}]}]}},
+    {"planning_items": [{"planning_item_id": "o", "overrides": {"mean_difference": 1, "contrast_terms": [{"weight": 1}]}}], "overrides": {"contrast_terms": [{"weight": 1}]}},
+    {"more": {"planning_items": {"planning_item_id": "o", "scenarios": [{"scenario_id": "x", "overrides": {"mean_difference": 1, "contrast_terms": [{"weight": 1}]}}]}}},
+    {"planning_items": {"planning_item_id": "o", "more": {"overrides": {"mean_difference": 1, "contrast_terms": [{"weight": 1}]}}}},
+    {"overrides": [{"planning_items": [{"scenarios": [{"overrides": {"mean_difference": 1}}]}]}]},
+])
+def test_one_odd_payload_changes_no_other(spark, rows, odd):
+    good = {"planning_items": [{"planning_item_id": "i", "scenarios": [{"scenario_id": "s", "overrides": {"mean_difference": 2, "contrast_terms": [{"weight": 1}]}}]}]}
+    plans = spark.createDataFrame([("g", "1", json.dumps(good)), ("odd", "1", json.dumps(odd))], PLANS)
+    got = rows(shred.nested_parts(plans, spark.createDataFrame([], CLAIMS3)))
+    assert got == [("override", "g", "1", "i", "s", 0), ("term", "g", "1", "i", "s", 0)]
+
+
+def test_nested_parts_of_single_objects_only(spark, rows):
+    doc = {"planning_items": {"planning_item_id": "i", "scenarios": {"scenario_id": "s", "overrides": {"mean_difference": 2, "contrast_terms": {"weight": 1}}}, "contrast_terms": {"weight": "2"}}}
+    got = rows(shred.nested_parts(spark.createDataFrame([("p", "1", json.dumps(doc))], PLANS), spark.createDataFrame([], CLAIMS3)))
+    assert got == [("override", "p", "1", "i", "s", 0), ("term", "p", "1", "i", "", 0), ("term", "p", "1", "i", "s", 0)]
+
+
 def test_nested_parts_empty(spark, rows):
     assert rows(shred.nested_parts(spark.createDataFrame([], PLANS), spark.createDataFrame([], CLAIMS3))) == []
 
