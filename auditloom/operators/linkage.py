@@ -66,6 +66,21 @@ def years_fit(a: Column, b: Column) -> Column:
     return (x == "") | (y == "") | F.coalesce(F.abs(n(x) - n(y)) <= 1, x == y)
 
 
+def _candidates(items: DataFrame, key: str, threshold: float, q: int) -> DataFrame:
+    """a, b: keys of items(key, t) of one first letter whose titles may be similar; the bound is that of ``fuzzy_pairs``, with rarity among titles of the letter."""
+    grams = items.select(F.col(key).alias("key"), F.length("t").alias("n"), F.substring("t", 1, 1).alias("first"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - q + 1), lambda i: F.substring(F.col("t"), i, F.lit(q))))).alias("g"))
+    freq = grams.groupBy("first", "g").agg(F.count(F.lit(1)).alias("df"))
+    # least length of a partner is n*t/(2-t), so the least match of a pair is t*n/(2-t)
+    n = F.col("n").cast("double")
+    partner = n * (2 - threshold) / threshold
+    lost = F.floor((1 - threshold) * (n + partner)) + 1
+    ranked = grams.join(freq, ["first", "g"]).withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("df", "g"))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    least = F.greatest(F.lit(1.0), F.ceil(threshold * n / (2 - threshold)) - (q - 1) * (lost + 1) - (n - q + 1 - F.col("size")))
+    prefix = ranked.where(F.col("k") <= F.col("size") - least + 1).select("key", "n", "first", "g")
+    pairs = prefix.alias("p").join(prefix.alias("s"), (F.col("p.first") == F.col("s.first")) & (F.col("p.g") == F.col("s.g")) & (F.col("p.key") < F.col("s.key")) & (F.least("p.n", "s.n") >= F.greatest("p.n", "s.n") * (threshold / (2 - threshold))))
+    return pairs.select(F.col("p.key").alias("a"), F.col("s.key").alias("b")).distinct()
+
+
 def fuzzy_pairs(records: DataFrame, threshold: float = 0.93, q: int = 3) -> DataFrame:
     """a, b, ratio of titles at least as similar as ``threshold``, between distinct normal titles of 20 or more characters with one first letter, fitting years and no conflicting identifiers.
 
@@ -77,23 +92,52 @@ def fuzzy_pairs(records: DataFrame, threshold: float = 0.93, q: int = 3) -> Data
     # letters only and single blanks, so lengths and q-grams are of what the ratio compares
     titled = records.select("record_id", "doi", "pmid", "pmcid", "arxiv_id", "year", L.norm_title_ascii(F.col("title")).alias("t")).where(F.length("t") >= 20)
     rep = titled.groupBy("t", "year").agg(F.min(F.struct("record_id", "doi", "pmid", "pmcid", "arxiv_id")).alias("r")).select("t", "year", "r.*")
-    grams = rep.select("record_id", F.length("t").alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - q + 1), lambda i: F.substring(F.col("t"), i, F.lit(q))))).alias("g"))
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    # least length of a partner is n*t/(2-t), so the least match of a pair is t*n/(2-t)
-    n = F.col("n").cast("double")
-    partner = n * (2 - threshold) / threshold
-    lost = F.floor((1 - threshold) * (n + partner)) + 1
-    ranked = grams.join(freq, "g").withColumn("k", F.row_number().over(Window.partitionBy("record_id").orderBy("df", "g"))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("record_id")))
-    least = F.greatest(F.lit(1.0), F.ceil(threshold * n / (2 - threshold)) - (q - 1) * (lost + 1) - (n - q + 1 - F.col("size")))
-    prefix = ranked.where(F.col("k") <= F.col("size") - least + 1).select("record_id", "n", "g")
-    pairs = prefix.alias("p").join(prefix.alias("s"), (F.col("p.g") == F.col("s.g")) & (F.col("p.record_id") < F.col("s.record_id")) & (F.least("p.n", "s.n") >= F.greatest("p.n", "s.n") * (threshold / (2 - threshold))))
-    pairs = pairs.select(F.col("p.record_id").alias("a"), F.col("s.record_id").alias("b")).distinct()
+    pairs = _candidates(rep, "record_id", threshold, q)
     x, y = rep.alias("x"), rep.alias("y")
     cand = pairs.join(x, F.col("a") == F.col("x.record_id")).join(y, F.col("b") == F.col("y.record_id"))
     cand = cand.where((F.substring("x.t", 1, 1) == F.substring("y.t", 1, 1)) & years_fit(F.col("x.year"), F.col("y.year")) & ~identifiers_conflict("x", "y"))
     return cand.select("a", "b", title_ratio(F.col("x.t"), F.col("y.t")).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
+def duplicate_links(records: DataFrame, threshold: float = 0.93, q: int = 3) -> DataFrame:
+    """a, b: record ids whose titles of 20 or more characters are equal or similar, with fitting years and no conflicting identifiers.
+
+    Records that agree in title, year and every identifier make a class, linked to its smallest id; years and identifiers are
+    compared for every pair of classes, titles once. A ratio counts in either order, as a table has none.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            m = difflib.SequenceMatcher(None, x, y)
+            # the first two are upper bounds
+            return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and (m.ratio() >= threshold or difflib.SequenceMatcher(None, y, x).ratio() >= threshold)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    parts = ["t", "year", "doi", "pmid", "pmcid", "arxiv_id"]
+    ids = [L.norm_id(F.col(c)).alias(c) for c in parts[3:]]
+    titled = records.where("record_id is not null").select("record_id", L.norm_title_ascii(F.col("title")).alias("t"), norm("year").alias("year"), L.norm_doi(F.col("doi")).alias("doi"), *ids).where(F.length("t") >= 20)
+    classes = titled.groupBy(*parts).agg(F.min("record_id").alias("record_id"))
+    same = titled.join(classes.withColumnRenamed("record_id", "a"), parts).select("a", F.col("record_id").alias("b"))
+    x, y = classes.alias("x"), classes.alias("y")
+    fit = years_fit(F.col("x.year"), F.col("y.year")) & ~identifiers_conflict("x", "y")
+    ends = [F.col("x.record_id").alias("a"), F.col("y.record_id").alias("b")]
+    equal = x.join(y, (F.col("x.t") == F.col("y.t")) & fit).select(*ends)
+    alike = _candidates(classes.select("t").distinct(), "t", threshold, q).where(similar("a", "b")).withColumnRenamed("a", "ta").withColumnRenamed("b", "tb")
+    near = alike.join(x, F.col("ta") == F.col("x.t")).join(y, (F.col("tb") == F.col("y.t")) & fit).select(*ends)
+    return same.unionByName(equal).unionByName(near).where("a <> b").distinct()
+
+
+def duplicate_groups(records: DataFrame, scratch: Scratch | None = None, threshold: float = 0.93) -> DataFrame:
+    """record_id, group_id (the group's smallest record id) of every record, linked by key or by title; a record without links is its own group."""
+    scratch = scratch or Scratch(records.sparkSession, "duplicates")
+    exact = exact_groups(records).select(F.col("group_id").alias("a"), F.col("record_id").alias("b"))
+    links = scratch.write(exact.unionByName(duplicate_links(records, threshold)), "links")
+    comp = connected_components(links, "a", "b", scratch).withColumnRenamed("id", "record_id")
+    return records.where("record_id is not null").select("record_id").distinct().join(comp, "record_id", "left").select("record_id", F.coalesce("component", "record_id").alias("group_id"))
+
+
 def tfidf(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, term, tf, df, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length a document."""
     t = docs.select(key, F.explode(L.terms(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -52,7 +52,7 @@ def dedup_exact(s: SparkSession, d: str) -> DataFrame:
 @query("merged_records")
 def merged_records(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "records")
-    return linkage.merge_records(r, linkage.exact_groups(r), ["title", "authors", "year", "venue", "doi", "pmid", "source"])
+    return linkage.merge_records(r, linkage.duplicate_groups(r), ["title", "authors", "year", "venue", "doi", "pmid", "source"])
 
 
 _STOPS = ", ".join(f"'{w}'" for w in L.STOP_WORDS)

@@ -259,6 +259,41 @@ def test_fuzzy_pairs_against_all_pairs(spark):
     assert want and got == want
 
 
+def test_duplicate_groups_against_all_pairs(spark):
+    """Every pair of records by the all-pairs rule, with copies of one title whose identifiers differ, are missing or clash."""
+    rnd = random.Random(3)
+    base = ["multi site primary outcome and sensitivity analysis", "a delayed assay plate under canonical conditions", "robust claim ledgers for sampling frames in trials"]
+    rows = []
+    for i in range(45):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 3, 6])):
+            t[rnd.randrange(1, len(t))] = rnd.choice("abcdefgh")
+        rows.append({"record_id": f"r{i:02}", "title": "".join(t), "year": rnd.choice(["2001", "2010", "2020", "2021", ""]), "doi": rnd.choice([None, f"10.1/{i % 9}"]), "pmid": rnd.choice([None, f"{i % 7}"])})
+    rows += [{"record_id": "s1", "title": "Short", "doi": "10.1/q"}, {"record_id": "s2", "title": "short"}, {"record_id": "none"}]
+    up = {r["record_id"]: r["record_id"] for r in rows}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    fit = lambda a, b: not a or not b or abs(int(a) - int(b)) <= 1
+    key = lambda r: ("doi", r["doi"]) if r.get("doi") else ("pmid", r["pmid"]) if r.get("pmid") else ("title", r["title"].lower()) if r.get("title") else None
+    alike = lambda a, b: max(difflib.SequenceMatcher(None, a, b).ratio(), difflib.SequenceMatcher(None, b, a).ratio()) >= 0.93
+    for a, b in itertools.combinations(rows, 2):
+        ta, tb = (" ".join((r.get("title") or "").lower().split()) for r in (a, b))
+        clash = any(a.get(c) and b.get(c) and a[c] != b[c] for c in ("doi", "pmid"))
+        if (key(a) and key(a) == key(b)) or (min(len(ta), len(tb)) >= 20 and ta[0] == tb[0] and fit(a["year"], b["year"]) and not clash and alike(ta, tb)):
+            m, n = sorted((find(a["record_id"]), find(b["record_id"])))
+            up[n] = m
+    r = records(spark, rows)
+    got = {x.record_id: x.group_id for x in linkage.duplicate_groups(r).collect()}
+    assert got == {x: find(x) for x in up} and len(set(got.values())) > 5
+
+
+def test_records_of_one_title_with_and_without_identifier_are_merged(spark):
+    r = records(spark, [{"record_id": "a", "title": "A delayed assay plate in trials", "year": "2020", "doi": "10.1/x"}, {"record_id": "b", "title": "A delayed assay plate in trials", "year": "2020", "pmid": "7"}, {"record_id": "c", "title": "A delayed assay plate in trials", "year": "2020", "doi": "10.1/y", "pmid": "8"}])
+    assert {x.record_id: x.group_id for x in linkage.duplicate_groups(r).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
 def test_cosine_pairs_and_clusters_against_all_pairs(spark):
     rnd = random.Random(6)
     words = [f"word{i}" for i in range(30)]
