@@ -5,12 +5,13 @@ surroundings score each; a dynamic program over segment ends chooses, for the wh
 non-overlapping segments with the greatest total score, so boundaries and types are decided
 together. A segment that no type explains is ordinary text with score 0. The weights are the maximum of the
 conditional likelihood over ``TRAINING_SENTENCES`` generated labelled sentences (``pii_sentences``), fitted on the
-driver in a few seconds; the name lexicon gives features, not answers.
+driver in a few seconds; the name lexicon gives features and decides which Latin words may be in a name at all.
 
 Segments are bounded by their proposals: an address, the longest type, spans at most three lines.
 
 Defined results: null, empty and blank texts have no segments; whole texts are searched; ``found`` is the
-text as written; a repeated segment of a text gives one row; an empty lexicon leaves shape and context.
+text as written; a repeated segment of a text gives one row; an empty lexicon finds no
+Latin name; a name of more than three name words is not proposed whole.
 """
 
 from __future__ import annotations
