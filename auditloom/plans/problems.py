@@ -10,13 +10,6 @@ from auditloom.plans.tables import table
 
 RESULT_NUMBERS = ["estimate", "ci_low", "ci_high", "ci_level", "statistic", "p_value", "p_adjusted", "effect_size", "n"]
 RESULT_TEXTS = ["analysis_role", "type", "multiplicity_family", "estimand", "notes", "data_sha256", "plan_sha256"]
-#: Fields approved for promotion into the consistent tables.
-PROMOTED = {
-    "claims": {"anchor_granularity": "string", "Anchor_Precision": "string", "lifecycleState": "string", "x_skill_hint": "string"},
-    "workspace_state": {"version": "double", "Schema_Version": "double", "x_skill_hint": "string", "x_locked": "boolean", "review_round": "bigint"},
-    "analysis_plan": {"x_skill_hint": "string", "x_locked": "boolean", "manuscript_presence": "string"},
-}
-
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.drift(table(spark, d, "ledger_files"))
@@ -24,7 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p1_table(artifact: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        return drift.promote(drift.ingest(table(spark, d, "ledger_files"), artifact).drop("_fields", "_digest"), PROMOTED[artifact])
+        return drift.promote(drift.ingest(table(spark, d, "ledger_files"), artifact), drift.PROMOTED[artifact])
 
     return q
 

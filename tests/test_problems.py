@@ -88,7 +88,7 @@ def test_ingest_rescues_and_promote_replays(spark):
     t = drift.ingest(lines(spark, [("f", 1, recs)]), "claims")
     got = {r.claim_id: r for r in t.collect()}
     assert got["1"].status == "ok" and got["2"].status is None and json.loads(got["2"]._rescued)["status"] == ["bad"] and got["3"]._rescued is None
-    p = {r.claim_id: r for r in drift.promote(t.drop("_fields"), {"hint": "string", "n": "double"}).collect()}
+    p = {r.claim_id: r for r in drift.promote(t, {"hint": "string", "n": "double"}).collect()}
     assert p["1"].hint == "h" and p["1"].n == 3.0 and p["1"]._rescued is None
     assert p["2"].hint is None and p["2"].n == 2.5 and json.loads(p["2"]._rescued) == {"status": ["bad"], "hint": 4}
 
