@@ -2,7 +2,7 @@
 
 Each half round replaces edges by edges to the smallest neighbour, until only stars remain. Every
 round is written to the shared folder; the smallest neighbour is found by an aggregate that combines before
-the shuffle, and the join with it splits off hot vertices.
+the shuffle, and joined with one row a vertex on the right, so a hot vertex is split by the engine at run time.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.operators.skew import skew_join
 from auditloom.scratch import Scratch
 
 
@@ -19,9 +18,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("lo"), F.least("u", "v").alias("m"))
-        return skew_join(edges, least, ["lo"]).select("hi", F.col("m").alias("lo")).distinct()
+        return edges.join(least, "lo").select("hi", F.col("m").alias("lo")).distinct()
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    joined = skew_join(edges, least, ["hi"])
+    joined = edges.join(least, "hi")
     return joined.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
 
 

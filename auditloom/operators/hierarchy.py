@@ -1,13 +1,14 @@
 """Parent-child links to full hierarchies.
 
-Components are found first; each component's links are brought together and traversed depth first,
-with colours that tell finished nodes from those on the current path, so that circles show as back
-edges. A component of more than ``MAX_NODES`` nodes, which no task should hold, is solved by pointer
-doubling over all its nodes instead, with the same result.
+Components are found first: each child has one parent, so pointers jump to the root, twice as far each round, and what
+never arrives is on or below a circle and goes through general components. Each component's links are then brought together
+and traversed depth first, with colours that tell finished nodes from those on the current path, so that circles show as back
+edges. Rows leave the walk as it goes, so a task holds a component's links but never its paths. A component of more than
+``MAX_NODES`` nodes, whose links no task should hold, is solved by pointer doubling over all its nodes instead, with the same result.
 
 Defined results: of several parents the smallest counts; a self link is a circle; a node on or below a circle
 has root '', depth -1, path '', descendants -1 and cyclic 1; nodes without links give no row; null ends are
-no links; repeated links count once.
+no links; repeated links count once; a node on or below a circle is nobody's descendant.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,25 @@ from auditloom.operators.components import connected_components
 from auditloom.operators.skew import skew_join
 from auditloom.scratch import Scratch
 
+#: Nodes of a component that one task walks: about 60 MB of links.
 MAX_NODES = 100_000
+#: Rows and characters of paths that leave a walk together.
+BATCH_ROWS, BATCH_CHARS = 20_000, 4_000_000
 _OUT = "id string, root_id string, depth bigint, path string, descendants bigint, cyclic bigint, back_edge_to string"
+_PAIRS = "ancestor string, descendant string, distance bigint"
 
 
-def traverse(parent_of: dict[str, str]) -> list[tuple]:
-    """Rows of one component, from each child's parent; ``back_edge_to`` closes a circle."""
+def _children(parent_of: dict[str, str]) -> dict[str, list[str]]:
     children: dict[str, list[str]] = defaultdict(list)
     for c, p in parent_of.items():
         children[p].append(c)
+    return children
+
+
+def traverse(parent_of: dict[str, str]) -> Iterator[tuple]:
+    """Rows of one component, from each child's parent; ``back_edge_to`` closes a circle."""
+    children = _children(parent_of)
     nodes = {*parent_of, *children}
-    rows: list[tuple] = []
     done: set[str] = set()
     for root in sorted(n for n in nodes if n not in parent_of):
         path: list[str] = []
@@ -43,7 +52,7 @@ def traverse(parent_of: dict[str, str]) -> list[tuple]:
             n, leaving = stack.pop()
             if leaving:
                 below = size.pop()
-                rows.append((n, root, len(path) - 1, "/".join(path), below, 0, None))
+                yield n, root, len(path) - 1, "/".join(path), below, 0, None
                 path.pop()
                 if size:
                     size[-1] += below + 1
@@ -52,7 +61,7 @@ def traverse(parent_of: dict[str, str]) -> list[tuple]:
             path.append(n)
             size.append(0)
             stack.append((n, True))
-            stack += [(c, False) for c in sorted(children[n], reverse=True)]
+            stack += [(c, False) for c in sorted(children.get(n, ()), reverse=True)]
     # what no root reaches is on or below a circle: grey nodes are on the current path
     grey, black = set(), set()
     for start in sorted(nodes - done):
@@ -66,26 +75,63 @@ def traverse(parent_of: dict[str, str]) -> list[tuple]:
             if n in black or n in grey:
                 continue
             grey.add(n)
-            back = next((c for c in sorted(children[n]) if c in grey), None)
-            rows.append((n, "", -1, "", -1, 1, back))
+            back = next((c for c in sorted(children.get(n, ())) if c in grey), None)
+            yield n, "", -1, "", -1, 1, back
+            stack.append((n, True))
+            stack += [(c, False) for c in sorted(children.get(n, ()), reverse=True) if c not in grey]
+
+
+def pairs_of(parent_of: dict[str, str]) -> Iterator[tuple]:
+    """(ancestor, descendant, distance) of one component's trees."""
+    children = _children(parent_of)
+    for root in sorted(n for n in children if n not in parent_of):
+        path: list[str] = []
+        stack: list[tuple[str, bool]] = [(root, False)]
+        while stack:
+            n, leaving = stack.pop()
+            if leaving:
+                path.pop()
+                continue
+            for i, up in enumerate(path):
+                yield up, n, len(path) - i
+            path.append(n)
             stack.append((n, True))
-            stack += [(c, False) for c in sorted(children[n], reverse=True) if c not in grey]
-    return rows
+            stack += [(c, False) for c in children.get(n, ())]
 
 
-def _by_component(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links come sorted by component; one component is held at a time."""
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    now, links = None, {}
-    for b in batches:
+def _walk(rows_of, schema: str, path_at: int | None):
+    """The function of an Arrow map over links sorted by component; one component's links are held at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64() if x.split()[1] == "bigint" else pa.string() for x in schema.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], names=names)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for comp, child, parent in zip(b["component"], b["child"], b["parent"]):
-            if comp != now:
-                out += traverse(links)
-                now, links = comp, {}
-            links[child] = parent
-        yield pd.DataFrame(out, columns=names)
-    yield pd.DataFrame(traverse(links), columns=names)
+        chars = 0
+
+        def told(links: dict[str, str]) -> Iterator[pa.RecordBatch]:
+            nonlocal chars
+            for r in rows_of(links):
+                out.append(r)
+                chars += len(r[path_at]) if path_at is not None else 0
+                if len(out) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield batch(out)
+                    out.clear()
+                    chars = 0
+
+        now, links = None, {}
+        for b in batches:
+            for comp, child, parent in zip(*[b.column(c).to_pylist() for c in ("component", "child", "parent")]):
+                if comp != now:
+                    yield from told(links)
+                    now, links = comp, {}
+                links[child] = parent
+        yield from told(links)
+        yield batch(out)
+
+    return each
 
 
 def _closing(ring: DataFrame, n: int, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -125,20 +171,67 @@ def _doubling(links: DataFrame, scratch: Scratch) -> DataFrame:
     return s.select("id", pick(F.col("root"), "").alias("root_id"), pick(F.col("depth"), -1).alias("depth"), pick(F.col("path"), "").alias("path"), pick(F.col("size") - 1, -1).alias("descendants"), pick(F.lit(0), 1).cast("long").alias("cyclic"), F.col("back").alias("back_edge_to"))
 
 
+def _rooted(one: DataFrame, scratch: Scratch) -> DataFrame:
+    """child, parent, component of links with one parent a child: the root's id, or for circles the component's smallest id."""
+    up = one.select("child", F.col("parent").alias("anc"), F.lit(False).alias("done"))
+    left, k = None, 0
+    while True:
+        # a pointer that ends at no child has reached the root; skewed pointers are split by the engine at run time
+        far = up.select(F.col("child").alias("anc"), F.col("anc").alias("far"), F.col("done").alias("far_done"))
+        nxt = up.join(far, "anc", "left").select("child", F.when(~F.col("done") & F.col("far").isNotNull(), F.col("far")).otherwise(F.col("anc")).alias("anc"), (F.col("done") | F.col("far").isNull() | F.col("far_done")).alias("done"))
+        nxt, now = scratch.counted(nxt, f"up{k}", ~F.col("done"))
+        scratch.drop(f"up{k - 1}")
+        up = nxt
+        # depths have no gaps: when a round roots nobody, nobody else has a root
+        if now == 0 or now == left:
+            break
+        left, k = now, k + 1
+    placed = one.join(up.where("done").select("child", F.col("anc").alias("component")), "child")
+    if not now:
+        return placed.select("child", "parent", "component")
+    ring = scratch.write(one.join(up.where("not done").select("child"), "child", "left_semi"), "ring")
+    comp = connected_components(ring, "child", "parent", scratch)
+    # a node whose only link is to itself is a component of its own
+    return placed.select("child", "parent", "component").unionByName(ring.join(comp.withColumnRenamed("id", "child"), "child", "left").select("child", "parent", F.coalesce("component", "child").alias("component")))
+
+
+def _placed(links: DataFrame, scratch: Scratch, max_nodes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links with their components, sorted together for a walk; and those of components too large for one, if any."""
+    one = scratch.write(links.where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent")), "links")
+    placed = scratch.write(_rooted(one, scratch), "placed")
+    large = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_nodes).select("component")
+    if large.isEmpty():
+        return placed.repartition("component").sortWithinPartitions("component", "child"), None
+    large = scratch.write(large, "large")
+    # one row a component of more than max_nodes links: few rows beside the links
+    return placed.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "child"), placed.join(large, "component", "left_semi").select("component", "child", "parent")
+
+
 def hierarchy(links: DataFrame, scratch: Scratch | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
     """links(child, parent) -> id, root_id, depth, path, descendants, cyclic, back_edge_to."""
     scratch = scratch or Scratch(links.sparkSession, "hierarchy")
-    one = scratch.write(links.where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent")), "links")
-    comp = scratch.write(connected_components(one, "child", "parent", scratch), "components")
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    # a node whose only link is to itself is a component of its own
-    placed = one.join(comp.withColumnRenamed("id", "child"), "child", "left").withColumn("component", F.coalesce("component", "child"))
-    large = sizes.where(F.col("n") > max_nodes).select("component")
-    any_large = bool(large.limit(1).collect())
-    small = placed.join(large, "component", "left_anti") if any_large else placed
-    out = small.select("component", "child", "parent").repartition("component").sortWithinPartitions("component", "child").mapInPandas(_by_component, _OUT)
-    if any_large:
-        out = out.unionByName(_doubling(placed.join(large, "component", "left_semi").select("component", "child", "parent"), scratch))
+    small, large = _placed(links, scratch, max_nodes)
+    out = small.select("component", "child", "parent").mapInArrow(_walk(traverse, _OUT, 3), _OUT)
+    return out if large is None else out.unionByName(_doubling(large, scratch))
+
+
+def descendants(links: DataFrame, scratch: Scratch | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+    """links(child, parent) -> ancestor, descendant, distance: a row for every node and each of the nodes above it in its tree."""
+    scratch = scratch or Scratch(links.sparkSession, "descendants")
+    small, large = _placed(links, scratch, max_nodes)
+    out = small.select("component", "child", "parent").mapInArrow(_walk(pairs_of, _PAIRS, None), _PAIRS)
+    if large is None:
+        return out
+    # circles have no root: only nodes below a root have pairs
+    ok = _doubling(large, scratch).where("cyclic = 0").select(F.col("id").alias("child"))
+    tree = scratch.write(large.join(ok, "child", "left_semi").select("child", "parent"), "tree")
+    front, k = tree.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).cast("long").alias("distance")), 1
+    out, more = out.unionByName(front), 1
+    while more:
+        k += 1
+        step = front.select(F.col("ancestor").alias("child"), "descendant").join(tree, "child").select(F.col("parent").alias("ancestor"), "descendant", F.lit(k).cast("long").alias("distance"))
+        front, more = scratch.counted(step, f"front{k}", F.lit(True))
+        out = out.unionByName(front)
     return out
 
 
@@ -154,3 +247,7 @@ def claim_links(claims: DataFrame) -> DataFrame:
 
 def claim_hierarchy(claims: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return hierarchy(claim_links(claims), scratch).withColumnRenamed("id", "claim_id")
+
+
+def claim_descendants(claims: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    return descendants(claim_links(claims), scratch)

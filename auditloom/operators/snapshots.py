@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.ordering import with_previous
-from auditloom.operators.references import bloom_filter, might_contain
+from auditloom.operators.references import bloom_filters, might_contain
 from auditloom.operators.skew import skew_join
 from auditloom.scratch import Scratch
 
@@ -80,7 +80,7 @@ def snapshot_changes(entries: DataFrame, snapshots: DataFrame, scratch: Scratch,
     key = ["series", "snapshot", "digest"]
     hashed = F.xxhash64(*key)
     n = need.count()
-    wanted = chunks.where(might_contain(bloom_filter(need.select(hashed.alias("k")), "k", n), hashed)) if n else chunks.limit(0)
+    wanted = chunks.where(might_contain(bloom_filters(need.select(hashed.alias("k")), "k", n), hashed)) if n else chunks.limit(0)
     rows = wanted.join(need, key).select("series", "pair", "new", F.explode("rows").alias("e"))
     side = lambda n: F.max(F.when(F.col("new") == n, F.struct("e.value")))
     both = rows.groupBy("series", F.col("pair").alias("snapshot"), "e.section", "e.entry").agg(side(True).alias("n"), side(False).alias("o"))
@@ -117,7 +117,7 @@ def workspace_changes(state: DataFrame, scratch: Scratch | None = None) -> DataF
     last = all_
     if n:
         key = F.xxhash64("series", "snapshot")
-        more = might_contain(bloom_filter(again.select(key.alias("k")), "k", n), key)
+        more = might_contain(bloom_filters(again.select(key.alias("k")), "k", n), key)
         held = slim.select("series", "snapshot", "arrived_at", "taken_at", "_d")
         same = (all_["series"] == held["series"]) & (all_["snapshot"] == held["snapshot"]) & all_["arrived_at"].eqNullSafe(held["arrived_at"]) & all_["taken_at"].eqNullSafe(held["taken_at"]) & all_["_d"].eqNullSafe(held["_d"])
         last = all_.where(~more).unionByName(all_.where(more).join(held, same, "left_semi"))

@@ -51,6 +51,10 @@ def p6_back_edges(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.claim_hierarchy(table(spark, d, "claims")).where("back_edge_to is not null").select("claim_id", "back_edge_to")
 
 
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.claim_descendants(table(spark, d, "claims"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.workspace_changes(table(spark, d, "workspace_state"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "p5_by_period": p5_by_period,
     "p6_found": p6_found,
     "p6_back_edges": p6_back_edges,
+    "p6_descendants": p6_descendants,
     "p7_found": p7_found,
 }
 
@@ -189,5 +194,7 @@ SQL = {
     "p5_found": _P5,
     "p5_by_period": f'SELECT ref_field, status, period, count(*) AS "references", count(DISTINCT target_id) AS targets FROM ({_P5}) GROUP BY ALL',
     "p6_found": _P6,
+    "p6_descendants": f"""WITH RECURSIVE {_P6_LINKS}, up AS (SELECT parent AS ancestor, child AS descendant, 1 AS distance FROM links UNION SELECT l.parent, u.descendant, u.distance + 1 FROM up u JOIN links l ON u.ancestor = l.child WHERE u.distance <= (SELECT count(*) FROM links)),
+  rooted AS (SELECT DISTINCT descendant FROM up WHERE ancestor NOT IN (SELECT child FROM links)) SELECT DISTINCT ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM up WHERE descendant IN (SELECT descendant FROM rooted)""",
     "p7_found": _P7,
 }

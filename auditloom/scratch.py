@@ -11,17 +11,20 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run here (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="auditloom-")
@@ -49,6 +52,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+        """The written table, and how many of its rows ``what`` holds for, counted while writing. Never 0 for more; a task that ran twice may count twice."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.when(what, 1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.base}/{name}")
