@@ -5,13 +5,14 @@ surroundings score each; a dynamic program over segment ends chooses, for the wh
 non-overlapping segments with the greatest total score, so boundaries and types are decided
 together. A segment that no type explains is ordinary text with score 0. The weights are the maximum of the
 conditional likelihood over ``TRAINING_SENTENCES`` generated labelled sentences (``pii_sentences``), fitted on the
-driver in a few seconds; the name lexicon gives features and decides which Latin words may be in a name at all.
+driver in a few seconds. The name lexicon gives features, not answers: any capitalised word may be in a name.
 
-Segments are bounded by their proposals: an address, the longest type, spans at most three lines.
+Segments are bounded by their proposals: an address, the longest type, spans at most three lines; a name has at most
+``NAME_WORDS`` words (initials and particles apart), a phone or identity number ``DIGITS`` digits. What is longer is not
+proposed whole.
 
 Defined results: null, empty and blank texts have no segments; whole texts are searched; ``found`` is the
-text as written; a repeated segment of a text gives one row; an empty lexicon finds no
-Latin name; a name of more than three name words is not proposed whole.
+text as written; a repeated segment of a text gives one row; an empty lexicon leaves shape and context.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("name", "email", "phone", "identity", "address")
 TRAINING_SENTENCES = 4000
+#: Words of the longest name, and digits of the shortest and longest number, that are proposed.
+NAME_WORDS = 5
+DIGITS = (7, 18)
 MAX_LEXICON = 1_000_000
 
 # full-width letters, digits and signs, one for one, and blanks other than the plain one
@@ -45,11 +49,14 @@ _CITY = rf"[{_UP}][{_L}'’-]+(?: [{_UP}][{_L}'’-]+(?=[,\r\n]|$))?"
 
 # e-mail: sign, word or bracketed word for @ and the dot
 _AT = r"(?:@|\s?[\[({<]\s?(?:at|AT|At)\s?[\])}>]\s?| AT )"
+#: What every spelling of an e-mail holds: an @, a bracketed or upper-case word for it, or a word for the dot.
+_EMAIL_SIGN = re.compile(r"@|[\[({<]\s?[aA][tT]\s?[\])}>]| AT | dot ")
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|Dot)\s?[\])}]\s?| DOT | dot )"
 _EMAIL = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+'-]*(?:{_AT}|(?: at (?=[A-Za-z0-9-]+ dot ))){'[A-Za-z0-9-]+'}(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])")
 
-# numbers in groups with single separators
-_NUMBER = re.compile(r"(?<![A-Za-z0-9_.@/+-])(?<!\d,)[+(]{0,2}\d+(?:[)]?[ .\-/]?[(]?\d+)*(?:X(?![A-Za-z0-9]))?")
+# numbers in groups with single separators; every one that is long enough holds the first form
+_LONG = re.compile(r"\d(?:\)?[ .\-/]?\(?\d){%d}" % (DIGITS[0] - 1))
+_NUMBER = re.compile(r"(?<![A-Za-z0-9_.@/+-])(?<!\d,)(?=[+(]{0,2}" + _LONG.pattern + r")[+(]{0,2}\d+(?:[)]?[ .\-/]?[(]?\d+)*(?:X(?![A-Za-z0-9]))?")
 _CODE = re.compile(r"(?<![A-Za-z0-9_-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}\d{6,9}(?:[A-Z]\d?)?|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]{3}-\d{8}|\d{2}[A-Z]{2}\d{5})(?![A-Za-z0-9_-])")
 
 _NUM = r"\d{1,5} ?[A-Za-z]?"
@@ -68,13 +75,17 @@ _ADDRESS = [
 _ADDRESS_SIGNS = [
     ("street", " st", "road", " rd", "lane", " ln", "ave", " way", "blvd", "boulevard", "court", " ct", "drive", " dr", "close", "sq", "terrace", "place", "crescent", "gardens"),
     ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm "),
-    ("rue ", "avenue ", "boulevard ", "bd ", "place ", "chemin ", "allée ", "impasse ", "quai ", "cours "),
+    ("rue", "avenue", "boulevard", "bd", "place", "chemin", "allée", "impasse", "quai", "cours"),
     ("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino "),
     ("市",),
 ]
 
 _PARTICLES = {"von", "van", "de", "der", "den", "del", "della", "di", "da", "du", "la", "le", "mac", "mc", "al", "el", "bin", "ibn", "ter", "ten", "zu", "zur", "dos", "das"}
+# fixed values: words that open a sentence, by language, and are in no name
+_OPENERS = set("The A An In On At By For From To With Of And Or But If When Then While After Before During This That These Those There It Its We Our They Their He She His Her You Your I No Not Each Every Both All Some Any Most Next Write Call Text Send Contact Reviewed Screened Readings Reached Archived Install Between Thanks See As Is Are Was Were Be Has Have Had Der Die Das Den Dem Des Ein Eine Einer Eines Im Am Zum Zur Bei Mit Nach Von Vor Für Und Oder Wir Es Ist Sind War Le La Les Un Une Des Du De Et Ou Dans Sur Pour Par Avec Nous Il Elle Ils Elles El Los Las Una Unos Unas En Con Por Para Del Al Y O Se Lo Su Sus".split())
 _TOKEN = re.compile(rf"[{_L}]+(?:['’-][{_L}]+)*\.?")
+# capitalised words and particles alone: what lies between is in no name, and the gap tells it
+_CAPITAL = re.compile(rf"(?<![{_L}])(?<![{_L}]['’-])(?:[{_UP}][{_L}]*|(?:{'|'.join(sorted(_PARTICLES, key=len, reverse=True))})(?![{_L}]))(?:['’-][{_L}]+)*\.?")
 _HAN_NAME = re.compile(r"(?:(?<=[为由与和：:=|·。，、\n\r ])|(?<=感谢)|(?<=^))(?!感谢|作者|通讯|请|电话|地址|邮箱|证件|受试)[一-鿿]{2,4}(?=，|提供|。|;| ?[|·]|\s|$|\(|（)")
 
 # words around a segment, by language; fixed values
@@ -118,6 +129,7 @@ class Lexicon:
         self.han = {t for t in self.roles if len(t) == 1}
         self.seen: dict[str, str] = {}
         self.tokens: dict[str, tuple[str, int]] = {}
+        self.nothing: set[str] = set()
 
     def built(self, w: str) -> bool:
         return any(w[:i] in self.heads and w[i:] in self.tails for i in range(2, len(w) - 1))
@@ -145,6 +157,8 @@ class Lexicon:
             dotted = w[-1] == "."
             core = w.rstrip(".")
             kind = "i" if dotted and len(core) == 1 and core.isupper() else "p" if core.lower() in _PARTICLES and not dotted else self.kind(core)
+            if not kind and len(core) > 1 and core[0].isupper() and not core.isupper() and core not in _OPENERS:
+                kind = "u"
             if len(self.tokens) > 500_000:
                 self.tokens.clear()
             t = self.tokens[w] = (kind, len(w) if kind == "i" else len(core))
@@ -187,10 +201,10 @@ def _context(t: str, start: int, end: int, f: list[str]) -> None:
 
 
 def _number_segments(t: str, out: list[Segment]) -> None:
-    for m in _NUMBER.finditer(t):
+    for m in _NUMBER.finditer(t) if _LONG.search(t) else ():
         s, e = m.span()
         x = m[0]
-        if len(x) < 7:
+        if len(x) < DIGITS[0]:
             continue
         while x.count("(") > x.count(")") and "(" in x:
             # an opening bracket that isn't closed within is context
@@ -201,7 +215,7 @@ def _number_segments(t: str, out: list[Segment]) -> None:
             else:
                 break
         digits = sum(c.isdigit() for c in x)
-        if not 7 <= digits <= 18 or (e < len(t) and (t[e].isalnum() and t[e] < "一" or t[e] in "@:=%" and e + 1 < len(t) and t[e + 1].isdigit())):
+        if not DIGITS[0] <= digits <= DIGITS[1] or (e < len(t) and (t[e].isalnum() and t[e] < "一" or t[e] in "@:=%" and e + 1 < len(t) and t[e + 1].isdigit())):
             continue
         groups = "-".join(str(len(g)) for g in re.findall(r"\d+", x))
         seps = "".join(sorted(set(re.sub(r"[\dX+]", "", x))))
@@ -220,6 +234,13 @@ def _number_segments(t: str, out: list[Segment]) -> None:
         out.append(Segment(*m.span(), "identity", ["identity", *[f"identity|{b}" for b in base]]))
 
 
+# words W, initials i, particles p, one comma c
+_SPELLING = re.compile(r"(?:W|i){1,%d}i{0,2}p{0,2}W|p{0,2}WcWi{0,2}" % (NAME_WORDS - 1))
+
+
+_PLAIN_WORD = ("", 0)
+
+
 def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
     run: list[tuple[int, int, str, str]] = []
 
@@ -229,9 +250,13 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
             for i in range(n):
                 if run[i][3] == "c":
                     continue
-                for j in range(i + 1, min(n, i + 6)):
+                words = run[i][3] not in "ip"
+                for j in range(i + 1, n):
                     if run[j][3] in "ipc":
                         continue
+                    words += 1
+                    if words > NAME_WORDS:
+                        break
                     spell(i, j)
         run.clear()
 
@@ -239,16 +264,18 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
         part = run[i : j + 1]
         kinds = [p[3] for p in part]
         commas = kinds.count("c")
-        names = [k for k in kinds if k in "gfno"]
-        pattern = "".join("W" if k in "gfno" else k for k in kinds)
-        if commas > 1 or (commas and not re.fullmatch(r"Wp{0,2}cWi{0,2}|p{0,2}WcWi{0,2}", pattern)) or len(names) > 3 or not re.fullmatch(r"(?:W|i){1,3}i{0,2}p{0,2}W|W{1,3}|p{0,2}WcWi{0,2}", pattern):
+        names = [k for k in kinds if k in "gfnou"]
+        pattern = "".join("W" if k in "gfnou" else k for k in kinds)
+        if commas > 1 or not _SPELLING.fullmatch(pattern):
             return
         s, e = part[0][0], part[-1][1]
-        words = [p[2] for p, k in zip(part, kinds) if k in "gfno"]
+        words = [p[2] for p, k in zip(part, kinds) if k in "gfnou"]
         case = "upper" if all(w.isupper() for w in words) else "lower" if all(w.islower() for w in words) else "title" if all(w[0].isupper() for w in words) else "mixed"
         f = [f"pattern:{pattern}", f"case:{case}", f"first:{kinds[0]}", f"last:{kinds[-1]}", "kinds:" + "".join(sorted(set(names))), f"names:{len(names)}"]
         if all(k == "o" for k in names):
             f.append("all ordinary")
+        elif all(k in "ou" for k in names):
+            f.append("none known")
         _context(t, s, e, f)
         before, nxt, left, right = _around(t, s, e)
         if nxt and nxt[0] in _AFTER_NAME:
@@ -274,9 +301,19 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
 
     end = -2
     token = lex.token
-    for m in _TOKEN.finditer(t):
+    # each distinct word is classified once; most are in no name
+    known = {}
+    for w in set(_TOKEN.findall(t)) - lex.nothing:
+        k = token(w)
+        if k[0]:
+            known[w] = k
+        elif len(lex.nothing) < 500_000:
+            lex.nothing.add(w)
+    # small letters matter only where a listed name is written so
+    words = _TOKEN if any(k in "gfno" and not w[0].isupper() for w, (k, _) in known.items()) else _CAPITAL
+    for m in words.finditer(t) if any(k in "gfnou" for k, _ in known.values()) else ():
         w = m[0]
-        kind, size = token(w)
+        kind, size = known.get(w, _PLAIN_WORD)
         if not kind:
             if run:
                 flush()
@@ -305,19 +342,23 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
         out.append(Segment(*m.span(), "name", ["han name", *[f"han|{x}" for x in f]]))
 
 
-def propose(text: str, lex: Lexicon) -> list[Segment]:
-    """All candidate segments of a text, over its plain form."""
+def propose(text: str, lex: Lexicon, search_all: bool = False) -> list[Segment]:
+    """All candidate segments of a text, over its plain form. ``search_all`` searches forms whose signs the text lacks as well, with the same result."""
     t = plain(text)
     out: list[Segment] = []
-    if "@" in t or " AT " in t or "at)" in t or "at]" in t or "AT)" in t or "AT]" in t or " dot " in t:
+    if search_all or _EMAIL_SIGN.search(t):
         for m in _EMAIL.finditer(t):
             f = ["email", "email|sign" if "@" in m[0] else "email|word"]
             _context(t, *m.span(), f)
             out.append(Segment(*m.span(), "email", [x if x.startswith("email") else f"email|{x}" for x in f]))
     low = t.lower()
     for n, rx in enumerate(_ADDRESS):
-        if not any(w in low for w in _ADDRESS_SIGNS[n]):
-            continue
+        for w in _ADDRESS_SIGNS[n]:
+            if w in low:
+                break
+        else:
+            if not search_all:
+                continue
         for m in rx.finditer(t):
             f = ["address", f"address|form:{n}", "address|post" if re.search(r"\d{5}|\d[A-Z]{2}$", m[0]) else "address|no post"]
             g: list[str] = []

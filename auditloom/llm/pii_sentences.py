@@ -23,6 +23,7 @@ FRAMES = [
     "The subject lives at {address}.", "Kits were mailed to {address}, not to us.", "Parcels go to {address}.", "Site address: {address}", "Visit 3 took place at {address} as agreed.", "Anschrift: {address}.", "Proben bitte an {address} senden.", "Die Person wohnt in der {address}.", "Adresse : {address}.", "Les kits vont au {address}.", "Dirección: {address}.", "La participante vive en {address}.", "地址：{address}。", "受试者住在{address}。", "\n{address}\n",
     "第一评审人为{han}，已签字。", "通讯作者：{han}。", "感谢{han}提供数据。", "{han} | Data Unit | {email} | {phone} | {hanaddress}", "contact={han};mail={email};tel={phone}", "\n{han}\nReview Unit\n{email}\n", "{han} · Data Unit · {email}", "没有变化。{han}\nStatistics Team\n",
     # what only looks like persons, numbers and places
+    "Statistical Analysis Plan, Section {small}.", "Primary Outcome and Safety Report were filed by Data Monitoring.", "Author Contributions: drafting and review.", "Data Availability Statement follows Table {small}.", "Signed Informed Consent was kept.", "Main Results by Treatment Arm.", "Thanks to Open Science for hosting.", "{unknown} {unknown} Scale, version {small}.", "The {unknown} {unknown} method was used.", "Model {unknown} {unknown} et al. ({year})", "Reviewed by Quality Assurance.", "University Hospital {unknown} took part.", "{unknown} County General Hospital", "Auswertung Gruppe Placebo: {small} Fälle.", "Im Abschnitt Methoden steht Tabelle {small}.", "Geprüft durch Interne Revision.", "Analyse Principale, Tableau {small}.", "Plan de Análisis Estadístico, versión {small}.", "The rise was seen in condition {letter}. {unknown} ({small} draws) agreed.", "Pas d'effet dans la condition {letter}. Écrire à {email}.", "Sin efecto en la condición {letter}. Escriba a {email}.", "Kein Effekt in Gruppe {letter}. Auswertung folgt.", "see group {letter}. Resampling ({small}0 draws) helped.", "Review Comments", "Reading Time {small} Minutes", "Kaplan Meier Curves and Cox Regression", "Adverse Events Grade {small}", "Version Control System", "Baseline Characteristics",
     "The {family} index and the {family}–{family} scale were used ({family} et al., {year}).", "See {family} & {family} ({year}) and [@{lower}{year}; @{lower}20a].", "Der {family}-Index nach {family} und {family} ({year}) fehlt.", "L'échelle {family}–{family} ({family} et coll., {year}) manque.", "La escala {family}–{family} ({family} y cols., {year}) no sirve.", "{family}指数（{family} 等，{year}）未用。",
     "Readings at the {word} {word} site and along {word} {word} were averaged.", "{word} {word} {small} lists the lines, and {word} {word} notes follow in Appendix {small}.", "{small} Street segments and {small} Road crossings were in the Main Street set.", "Das {family} {word} Modell.", "The {word} {word} data were kept.",
     "Sample lot {lot} was thawed; batch {lot} was lost.", "Lot {lot}, voir la rue témoin.", "Lote {lot}; la calle es ficticia.", "批号{lot}，见第{small}节。", "The range {small}-{small}0 and the interval {date} 10:{small}0:00 are in UTC.", "Archived on {date} with (state {digits8}).", "doi:10.5555/{lower}.{small}.{digits6} has ISSN-like code {issn}.", "Trial TRL-{digits8} is under protocol 41.{small}.4{small}.", "Checksum {digits14} = {digits7}; accession QX_{digits8}.", "Install pkg@7.{small}.0 and rerun @{small} on branch main@{{1}}.",
@@ -67,10 +68,22 @@ class Filler:
     def d(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def unknown(self) -> str:
+        """A word that no list holds: two or three random syllables."""
+        r = self.r
+        s = "".join(r.choice(("b", "br", "d", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "r", "s", "sch", "st", "t", "tr", "v", "w", "z")) + r.choice("aeiou") + r.choice(("", "", "n", "r", "s", "l", "lf", "ng", "tz", "m")) for _ in range(r.randint(2, 3)))
+        return s.capitalize()
+
     def name(self) -> str:
         r = self.r
         k = r.random()
         i = lambda: r.choice("ABCDEFGHJKLMNPRSTVWY") + "."
+        new = r.random()
+        if new < 0.2:
+            fam = self.unknown()
+            return f"{self.unknown() if new < 0.15 else self.g()} {fam}"
+        if new < 0.24:
+            return " ".join(self.g() if r.random() < 0.5 else self.f() for _ in range(r.choice((3, 4, 5))))
         fam = self.f()
         if r.random() < 0.15:
             fam = f"{fam}-{self.f()}"
@@ -79,7 +92,7 @@ class Filler:
         giv = self.g()
         if r.random() < 0.12:
             giv = f"{giv}-{self.g()}"
-        s = f"{giv} {fam}" if k < 0.5 else f"{giv} {i()} {fam}" if k < 0.65 else f"{i()} {fam}" if k < 0.77 else f"{i()} {i()} {fam}" if k < 0.83 else f"{fam}, {giv}"
+        s = f"{giv} {fam}" if k < 0.5 else f"{giv} {i()} {fam}" if k < 0.65 else f"{i()} {fam}" if k < 0.75 else f"{i()} {i()} {fam}" if k < 0.84 else f"{fam}, {giv}"
         if r.random() < 0.07:
             s = s.upper()
         elif r.random() < 0.06 and "." not in s:
@@ -147,7 +160,7 @@ class Filler:
             return self.hanaddress(), "address"
         if what.startswith("digits"):
             return self.d(int(what[6:])), ""
-        return {"family": self.f, "lower": lambda: re.sub(r"[^a-z]", "", self.f().lower()) or "x", "word": lambda: r.choice(self.odd), "small": lambda: str(r.randint(1, 29)), "year": lambda: str(r.randint(2008, 2025)), "lot": lambda: f"{r.choice(('9', '5'))}{self.d(2)}-{self.d(r.choice((1, 2)))}-{self.d(4)}", "date": lambda: f"20{self.d(2)}-0{r.randint(1, 9)}-1{self.d(1)}", "issn": lambda: f"9{self.d(3)}-{self.d(4)}"}[what](), ""
+        return {"family": self.f, "unknown": self.unknown, "lower": lambda: re.sub(r"[^a-z]", "", self.f().lower()) or "x", "word": lambda: r.choice(self.odd), "letter": lambda: r.choice("ABCDEFGH"), "small": lambda: str(r.randint(1, 29)), "year": lambda: str(r.randint(2008, 2025)), "lot": lambda: f"{r.choice(('9', '5'))}{self.d(2)}-{self.d(r.choice((1, 2)))}-{self.d(4)}", "date": lambda: f"20{self.d(2)}-0{r.randint(1, 9)}-1{self.d(1)}", "issn": lambda: f"9{self.d(3)}-{self.d(4)}"}[what](), ""
 
 
 def generate(lexicon: dict[str, str], sentences: int, seed: int) -> Iterator[tuple[str, set[tuple[int, int, str]]]]:

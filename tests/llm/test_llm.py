@@ -154,3 +154,41 @@ def test_pii_rows_and_redaction(spark, rows):
     assert red[1].redacted.startswith("Dr. [NAME] re-ran it. Write to [EMAIL] or call [PHONE].\nSSN [IDENTITY] was seen. Parcels go to [ADDRESS]. See Grevati & Oskati (2012).") and red[1].segments == 5
     assert red[2].redacted is None and red[3].redacted == "" and red[5].segments == 10
     assert rows(pii.find(d.limit(0), lexicon)) == [] and len(rows(pii.find(d, lexicon.limit(0)))) > 0
+
+
+LEX = {"Anna": "given", "Lisio": "given", "Lisimar": "given", "Lisian": "given", "Korelin": "family", "Kormar": "family", "Korian": "family", "Grevelin": "family", "Grevmar": "family", "Grevian": "family"}
+
+
+def test_signs_spare_no_form():
+    """Searching every form in every text proposes the same segments."""
+    import random
+
+    from auditloom.llm import pii
+
+    rnd = random.Random(3)
+    lex = pii.Lexicon(LEX)
+    parts = ["lisio.g", "x@y.org", "a", "at", "AT", "At", "[at]", "{ at }", "<at>", "(At)", "example", "org", "dot", "DOT", "[dot]", "12", "rue", "rueLafayette", "75009", "Paris", "Maple", "Street", "St.", "Road", "Am", "Hofweg", "Hauptstr.", "Calle", "C/", "Mayor", "北京市海水区石路9号", "9", ",", "Flat", "555-010-1234", ".", "\n", "Lisio", "Korelin", "QX1 1ZZ"]
+    hits = 0
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) + rnd.choice((" ", " ", "", ", ")) for _ in range(rnd.randint(1, 9)))
+        got = [(s.start, s.end, s.kind) for s in pii.propose(t, lex)]
+        assert got == [(s.start, s.end, s.kind) for s in pii.propose(t, lex, search_all=True)], t
+        hits += len(got)
+    assert hits > 300
+    for t in ("lisio.g [ at ] example.org", "lisio.g{at}example.org", "lisio.g <at> example.org", "lisio.g(At)example.org"):
+        assert [s.kind for s in pii.propose(t, lex)] == ["email"]
+    assert [s.kind for s in pii.propose("12 rueLafayette, 75009 Paris", lex) if s.kind == "address"] == ["address"]
+
+
+def test_names_of_unlisted_and_of_many_words():
+    from auditloom.llm import pii
+
+    lex, weights = pii.Lexicon(LEX), pii.train(LEX)
+    found = lambda t: [(s.kind, t[s.start : s.end]) for s in pii.segments_of(t, lex, weights)]
+    assert found("The lead author is Wolfgang Schmidt.") == [("name", "Wolfgang Schmidt")]
+    assert [t for k, t in found("Corresponding author: Lisio Korelin Grevelin Lisimar.")] == ["Lisio Korelin Grevelin Lisimar"]
+    # the bound on words, and the one on digits
+    spans = lambda n: {s.end - s.start for s in pii.propose(" ".join(["Lisio"] * n), lex)}
+    assert max(spans(9)) == 6 * pii.NAME_WORDS - 1
+    assert [s.end - s.start for s in pii.propose("1" * pii.DIGITS[1], lex)] == [pii.DIGITS[1]] * 2
+    assert pii.propose("1" * (pii.DIGITS[1] + 1), lex) == []
