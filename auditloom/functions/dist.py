@@ -136,3 +136,31 @@ def hypergeom_two_sided(a: int, b: int, c: int, d: int) -> float:
     logs = [log_comb(r1, k) + log_comb(r2, c1 - k) - whole for k in range(max(0, c1 - r2), min(r1, c1) + 1)]
     own = log_comb(r1, a) + log_comb(r2, c) - whole
     return min(1.0, math.fsum(math.exp(v) for v in logs if v <= own + 1e-7))
+
+
+#: Cells of the exact distributions; beyond, their normal approximation is exact enough and the only one that can be computed.
+MAX_CELLS = 10_000_000
+
+
+def mann_whitney_exact(u: float, na: int, nb: int) -> float:
+    """Two-sided p of U without ties: the coefficients of the Gaussian binomial count the orders."""
+    m, n = sorted((na, nb))
+    w = np.zeros(m * n + 1)
+    w[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i <= m * n:
+            w[n + i :] -= w[: -(n + i)].copy()
+        for r in range(min(i, len(w))):
+            w[r::i] = np.cumsum(w[r::i])
+    top = math.ceil(max(u, m * n - u) - 1e-9)
+    return float(min(1.0, 2 * w[top:].sum() / w.sum()))
+
+
+def wilcoxon_exact(w_plus: float, n: int) -> float:
+    """Two-sided p of the signed rank sum without ties and zeros: every sign is as likely."""
+    f = np.zeros(n * (n + 1) // 2 + 1)
+    f[0] = 1.0
+    for i in range(1, n + 1):
+        f[i:] = f[i:] + f[:-i].copy()
+    low = math.floor(min(w_plus, n * (n + 1) / 2 - w_plus) + 1e-9)
+    return float(min(1.0, 2 * f[: low + 1].sum() / f.sum()))

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from auditloom.functions.text import norm
 
-# fixed values: ordinary words that title terms leave out
-STOP_WORDS = "the a an and or of in on for to with by from at as is are was were be this that these those using use via into between among under over not no we our their its it study studies analysis results based".split()
+# fixed values: words that are no terms
+STOP_WORDS = "a an and are as at be been by can could for from has have in into is it its may method methods model models of on or our paper result results study studies system systems that the their this to using via was we were with".split()
 
 
 def norm_space(c: Column) -> Column:

@@ -84,10 +84,18 @@ def legibility(texts: DataFrame, width_in: float, least: float) -> DataFrame:
     return finding(texts.where(size < least), "error", "too_small", F.col("id"), F.concat(F.round(size, 2).cast("string"), F.lit(" pt")))
 
 
+# fixed values: what a figure's parts weigh, and from which score on a level holds
+WEIGHTS = {"entities": 1.0, "relations": 0.75, "panels": 2.0, "core_claims": 0.75, "feedback": 0.75}
+LEVELS = {"high": 14.0, "medium": 8.0}
+FEEDBACK = ("feeds_back", "contains", "compares_with")
+
+
 def complexity(specs: DataFrame) -> DataFrame:
-    """specs(id, entities, relations, panels, labels counts) -> score and level."""
-    score = F.col("entities") + 1.5 * F.col("relations") + 2.0 * F.greatest(F.col("panels") - 1, F.lit(0)) + 0.25 * F.col("labels")
-    return specs.select("id", score.alias("score"), F.when(score <= 15, "simple").when(score <= 40, "moderate").otherwise("complex").alias("level"))
+    """specs(id, counts of entities, relations, panels, core_claims, and of relations of the types ``FEEDBACK``) -> score and level; the first panel and the first two core claims weigh nothing."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    parts = {"entities": n("entities"), "relations": n("relations"), "panels": F.greatest(n("panels") - 1, F.lit(0)), "core_claims": F.greatest(n("core_claims") - 2, F.lit(0)), "feedback": n("feedback")}
+    score = sum((c * WEIGHTS[k] for k, c in parts.items()), F.lit(0.0))
+    return specs.select("id", score.alias("score"), F.when(score >= LEVELS["high"], "high").when(score >= LEVELS["medium"], "medium").otherwise("low").alias("level"))
 
 
 def gate(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:

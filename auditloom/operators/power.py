@@ -95,6 +95,10 @@ def inflated(n: int | None, attrition: float) -> int | None:
     return None if n is None else math.ceil(n / (1 - attrition))
 
 
+# fixed values: the alternatives of a plan, and the tails they mean
+ALTERNATIVES = {"two-sided": "two-sided", "larger": "greater", "smaller": "less", "greater": "greater", "less": "less"}
+
+
 def _f(v: object) -> float | None:
     try:
         x = float(v)  # type: ignore[arg-type]
@@ -106,11 +110,12 @@ def _f(v: object) -> float | None:
 def plan_item(item: dict, defaults: dict) -> dict:
     """n (a group, or pairs), total_inflated, power, effect, target_met and problem of one item."""
     get = lambda k: _f(item.get(k)) if _f(item.get(k)) is not None else _f(defaults.get(k))
-    alpha, target = get("alpha") or 0.05, get("target_power") or 0.8
+    alpha, target = [v if (v := get(k)) is not None else default for k, default in (("alpha", 0.05), ("target_power", 0.8))]
     alt, kind, solve = item.get("alternative") or "two-sided", item.get("type"), item.get("solve_for")
+    alt = ALTERNATIVES.get(alt, "") if isinstance(alt, str) else ""
     out: dict = {"n": None, "inflated": None, "power": None, "effect": None, "target_met": None, "problem": None}
     try:
-        if not 0 < alpha < 1 or not 0 < target < 1 or alt not in ("two-sided", "greater", "less"):
+        if not 0 < alpha < 1 or not 0 < target < 1 or not alt:
             raise ValueError("alpha, target power or alternative")
         if kind == "welch_two_group_mean":
             a, b, n = get("sd_a"), get("sd_b"), get("n_a")

@@ -79,19 +79,20 @@ def mann_whitney(df: DataFrame, group: str, y: str, a: object, b: object, scratc
     r = ranked.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("midrank") * F.col("b")).alias("rb"), F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("ties"))
     na, nb = F.col("n_a"), F.col("n_b")
     n = (na + nb).cast("double")
-    r = r.withColumn("u", F.col("rb") - nb * (nb + 1) / 2.0).withColumn("effect_size", 2 * F.col("u") / (na * nb) - 1)
-    sd = F.sqrt(na * nb / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    r = r.withColumn("u", F.col("rb") - nb * (nb + 1) / 2.0).withColumn("effect_size", F.try_divide(2 * F.col("u"), na * nb) - 1)
+    sd = F.sqrt(na * nb / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     mid = na * nb / 2.0
-    return r.withColumn("z", (F.abs(F.col("u") - mid) - 0.5) / sd * F.signum(F.col("u") - mid)).drop("rb")
+    return r.withColumn("z", F.try_divide(F.abs(F.col("u") - mid) - 0.5, sd) * F.signum(F.col("u") - mid)).drop("rb")
 
 
 def wilcoxon(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """n (nonzero), w_plus, w_minus, w, effect_size (matched rank-biserial), ties."""
+    """n (nonzero), w_plus, w_minus, w, effect_size (matched rank-biserial), ties, zeros (pairs without a difference)."""
     d = F.col("b") - F.col("a")
+    zeros = pairs.agg(F.count(F.when(d == 0, 1)).alias("z")).scalar()
     two = pairs.select(d.alias("d")).where("d <> 0").select(F.abs("d").alias("v"), (F.col("d") > 0).cast("long").alias("p"))
     ranked = value_counts_with_rank(two, "v", ["p"], scratch)
     r = ranked.agg(F.sum("_t").alias("n"), F.sum(F.col("midrank") * F.col("p")).alias("w_plus"), F.sum(F.col("midrank") * (F.col("_t") - F.col("p"))).alias("w_minus"), F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("ties"))
-    return r.withColumn("w", F.least("w_plus", "w_minus")).withColumn("effect_size", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
+    return r.withColumn("w", F.least("w_plus", "w_minus")).withColumn("effect_size", F.try_divide(F.col("w_plus") - F.col("w_minus"), F.col("w_plus") + F.col("w_minus"))).withColumn("zeros", zeros)
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -107,59 +108,83 @@ def spearman(df: DataFrame, x: str, y: str, scratch: Scratch) -> DataFrame:
 
 
 def welch_anova(df: DataFrame, group: str, y: str, levels: list) -> DataFrame:
-    """Welch's omnibus test over declared levels: k, n, statistic, df1, df2, effect_size (Cohen f), outside (rows of other levels)."""
-    per = df.where(F.col(group).isin(*levels)).groupBy(group).agg(F.count(_num(y)).alias("n"), F.avg(_num(y)).alias("m"), F.var_samp(_num(y)).alias("v"))
-    per = per.withColumn("w", F.col("n") / F.col("v"))
-    s = per.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("w").alias("W"), F.sum(F.col("w") * F.col("m")).alias("wm"), F.sum(F.col("w") * F.col("m") ** 2).alias("wm2"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("m") ** 2).alias("nm2"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"), F.collect_list(F.struct("n", "w")).alias("each"))
-    # one entry a declared level
-    lam = F.aggregate("each", F.lit(0.0), lambda acc, e: acc + (1 - e["w"] / F.col("W")) ** 2 / (e["n"] - 1))
-    k = F.col("k").cast("double")
-    between = F.col("wm2") - F.col("wm") ** 2 / F.col("W")
-    s = s.withColumn("lam", lam)
-    s = s.withColumn("statistic", between / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("lam"))).withColumn("df1", k - 1).withColumn("df2", (k * k - 1) / (3 * F.col("lam")))
-    ss = F.col("nm2") - F.col("nm") ** 2 / F.col("n")
-    return s.withColumn("effect_size", F.sqrt(ss / F.col("within"))).select("k", "n", "statistic", "df1", "df2", "effect_size")
+    """Welch's omnibus test over declared levels: k, n, statistic, df1, df2, effect_size (Cohen's f by Welch's weights), outside (rows of other levels), problem.
+
+    Every declared level needs two values and a variance above 0; otherwise its name is in ``problem`` and the results are null.
+    """
+    g = F.col(group)
+    r = df.agg(*[c for i, lvl in enumerate(levels) for c in _arm(_num(y), g == F.lit(lvl), str(i))], F.count(F.when(g.isNotNull() & ~g.isin(*levels), 1)).alias("outside"))
+    each = F.array(*[F.struct(F.lit(str(lvl)).alias("level"), F.col(f"n_{i}").alias("n"), F.col(f"mean_{i}").alias("m"), F.col(f"var_{i}").alias("v"), F.try_divide(F.col(f"n_{i}"), F.col(f"var_{i}")).alias("w")) for i, lvl in enumerate(levels)])
+    bad = F.filter("each", lambda e: (e["n"] < 2) | ~F.coalesce((e["v"] > 0) & (e["v"] < float("inf")), F.lit(False)))
+    few = F.when(F.size(bad) > 0, F.concat(F.lit("level "), bad[0]["level"], F.when(bad[0]["n"] < 2, " has fewer than two values").otherwise(" has no variance")))
+    total = lambda f: F.aggregate("each", F.lit(0.0), lambda acc, e: acc + f(e))
+    r = r.withColumn("each", each).withColumn("problem", few).withColumn("n", F.aggregate("each", F.lit(0).cast("long"), lambda acc, e: acc + e["n"])).withColumn("W", F.when(F.col("problem").isNull(), total(lambda e: e["w"])))
+    r = r.withColumn("mean", F.try_divide(total(lambda e: e["w"] * e["m"]), F.col("W")))
+    r = r.withColumn("between", total(lambda e: e["w"] * (e["m"] - F.col("mean")) ** 2)).withColumn("lam", F.when(F.col("problem").isNull(), total(lambda e: F.try_divide((1 - F.try_divide(e["w"], F.col("W"))) ** 2, e["n"] - 1))))
+    k = float(len(levels))
+    return r.select(F.lit(len(levels)).cast("long").alias("k"), "n", (F.col("between") / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("lam"))).alias("statistic"), F.lit(k - 1).alias("df1"), F.try_divide(F.lit((k * k - 1) / 3), F.col("lam")).alias("df2"), F.sqrt(F.try_divide(F.col("between"), F.col("n"))).alias("effect_size"), "outside", "problem")
 
 
 def welch_contrast(df: DataFrame, group: str, y: str, weights: dict) -> DataFrame:
-    """Sum of weighted means: estimate, se, df, statistic; the weights must add up to zero."""
+    """Sum of weighted means: estimate, se, df, statistic, problem (a level without two values, or no variance at all); the weights must add up to zero."""
     if abs(sum(weights.values())) > 1e-9:
         raise ValueError("contrast weights must add up to 0")
     g = F.col(group)
     aggs = [c for i, lvl in enumerate(weights) for c in _arm(_num(y), g == F.lit(lvl), str(i))]
     r = df.where(g.isin(*weights)).agg(*aggs)
+    few = F.coalesce(*[F.when(F.col(f"n_{i}") < 2, F.lit(f"level {lvl} has fewer than two values")) for i, lvl in enumerate(weights)])
     terms = [(w, F.col(f"mean_{i}"), F.col(f"var_{i}"), F.col(f"n_{i}")) for i, w in enumerate(weights.values())]
     est = sum((m * w for w, m, _, _ in terms), F.lit(0.0))
-    var = sum((v * (w * w) / n for w, _, v, n in terms), F.lit(0.0))
-    low = sum(((v * (w * w) / n) ** 2 / (n - 1) for w, _, v, n in terms), F.lit(0.0))
-    return r.select(est.alias("estimate"), F.sqrt(var).alias("se"), (var * var / low).alias("df"), (est / F.sqrt(var)).alias("statistic"))
+    var = sum((F.try_divide(v * (w * w), n) for w, _, v, n in terms), F.lit(0.0))
+    low = sum((F.try_divide(F.try_divide(v * (w * w), n) ** 2, n - 1) for w, _, v, n in terms), F.lit(0.0))
+    r = r.withColumn("problem", few).select("problem", est.alias("estimate"), var.alias("var"), low.alias("low"))
+    r = r.withColumn("problem", F.coalesce("problem", F.when(~F.coalesce(F.col("var") > 0, F.lit(False)), "no variance")))
+    ok = lambda c: F.when(F.col("problem").isNull(), c)
+    return r.select(ok(F.col("estimate")).alias("estimate"), ok(F.sqrt("var")).alias("se"), ok(F.try_divide(F.col("var") * F.col("var"), F.col("low"))).alias("df"), ok(F.try_divide(F.col("estimate"), F.sqrt("var"))).alias("statistic"), "problem")
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
-    """Uncorrected Pearson over the observed levels: n, rows, cols, statistic, df, effect_size (Cramer V), least_expected, expected_below_5."""
+    """Uncorrected Pearson over the observed levels: n, rows, cols, statistic, df, effect_size (Cramer V), least_expected, problem (fewer than two levels on a side)."""
     cells = df.where(f"`{row}` is not null and `{col}` is not null").groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy("r").agg(F.sum("o").alias("ro"))
     cols = cells.groupBy("c").agg(F.sum("o").alias("co"))
-    n = cells.agg(F.sum("o").alias("n"), F.countDistinct("r").alias("nr"), F.countDistinct("c").alias("nc"))
+    n = cells.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n"), F.countDistinct("r").alias("nr"), F.countDistinct("c").alias("nc"))
     # sum over all cells of (o-e)^2/e = n * (sum over observed cells of o^2/(row*col) - 1): empty cells need no rows
     s = cells.join(rows, "r").join(cols, "c").agg(F.sum(F.col("o") * F.col("o") / (F.col("ro") * F.col("co"))).alias("q"))
     # single rows become columns of the one row, so nothing is joined
     one = s.withColumn("_t", n.select(F.struct("*")).scalar()).withColumn("r0", rows.agg(F.min("ro")).scalar()).withColumn("c0", cols.agg(F.min("co")).scalar()).select("q", "_t.*", "r0", "c0")
+    one = one.withColumn("problem", F.when((F.col("nr") < 2) | (F.col("nc") < 2), "fewer than two levels"))
+    ok = lambda c: F.when(F.col("problem").isNull(), c)
     k = F.least("nr", "nc") - 1
     stat = F.col("n") * (F.col("q") - 1)
-    return one.select("n", F.col("nr").alias("rows"), F.col("nc").alias("cols"), stat.alias("statistic"), ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("double").alias("df"), F.sqrt(stat / (F.col("n") * k)).alias("effect_size"), (F.col("r0") * F.col("c0") / F.col("n")).alias("least_expected"))
+    return one.select("n", F.col("nr").alias("rows"), F.col("nc").alias("cols"), ok(stat).alias("statistic"), ok(((F.col("nr") - 1) * (F.col("nc") - 1)).cast("double")).alias("df"), ok(F.sqrt(F.try_divide(stat, F.col("n") * k))).alias("effect_size"), F.try_divide(F.col("r0") * F.col("c0"), F.col("n")).alias("least_expected"), "problem")
+
 
+def _two_levels(df: DataFrame, c: str) -> list | None:
+    seen = [r[0] for r in df.select(c).distinct().limit(3).collect()]
+    return sorted(seen) if len(seen) == 2 else None
 
-def fisher(df: DataFrame, row: str, col: str, r1: object, c1: object, level: float = 0.95) -> DataFrame:
-    """2 x 2 of (row = r1) by (col = c1): a, b, c, d, estimate (odds ratio), ci_low, ci_high (Woolf); 0.5 is added to each cell only if one is empty."""
-    x, y = F.col(row) == F.lit(r1), F.col(col) == F.lit(c1)
+
+def fisher(df: DataFrame, row: str, col: str, row_levels: list | None = None, col_levels: list | None = None, level: float = 0.95) -> DataFrame:
+    """The 2 x 2 table of two row and two column levels: a, b, c, d, estimate (odds ratio), ci_low, ci_high (Woolf), problem.
+
+    Rows of other levels than the declared ones don't count; a declared level that no complete row has is a problem. Without a
+    declaration the data must have exactly two. 0.5 is added to each cell only if one is empty.
+    """
+    both = df.where(f"`{row}` is not null and `{col}` is not null")
+    rl, cl = row_levels or _two_levels(both, row), col_levels or _two_levels(both, col)
+    if not rl or not cl or len(rl) != 2 or len(cl) != 2:
+        return df.sparkSession.createDataFrame([(None,) * 7 + ("not a 2 x 2 table",)], "a bigint, b bigint, c bigint, d bigint, estimate double, ci_low double, ci_high double, problem string")
+    x, y = [F.col(row) == F.lit(v) for v in rl], [F.col(col) == F.lit(v) for v in cl]
     cnt = lambda p: F.count(F.when(p, 1))
-    r = df.where(f"`{row}` is not null and `{col}` is not null").agg(cnt(x & y).alias("a"), cnt(x & ~y).alias("b"), cnt(~x & y).alias("c"), cnt(~x & ~y).alias("d"))
+    r = both.agg(*[cnt(x[i] & y[j]).alias("abcd"[2 * i + j]) for i in (0, 1) for j in (0, 1)], *[cnt(p).alias(f"_{n}") for n, p in enumerate([*x, *y])])
+    r = r.withColumn("problem", F.coalesce(*[F.when(F.col(f"_{n}") == 0, F.lit(f"level {v} is absent")) for n, v in enumerate([*rl, *cl])]))
     add = F.when(F.least("a", "b", "c", "d") == 0, 0.5).otherwise(0.0)
     a, b, c, d = [F.col(k) + add for k in "abcd"]
     log = F.log(a * d / (b * c))
     half = F.lit(dist.norm_ppf(0.5 + level / 2)) * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return r.select("a", "b", "c", "d", (a * d / (b * c)).alias("estimate"), F.exp(log - half).alias("ci_low"), F.exp(log + half).alias("ci_high"))
+    ok = lambda v: F.when(F.col("problem").isNull(), v)
+    return r.select("a", "b", "c", "d", ok(a * d / (b * c)).alias("estimate"), ok(F.exp(log - half)).alias("ci_low"), ok(F.exp(log + half)).alias("ci_high"), "problem")
 
 
 def _gram(df: DataFrame, xs: list[Column], y: Column, w: Column | None = None, z: Column | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -218,6 +243,8 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str, offset: str | None =
     """
     spark = df.sparkSession
     data = df.select(_num(y).alias("y"), *[_num(x).alias(f"x{i}") for i, x in enumerate(xs, 1)], (_num(offset) if offset else F.lit(0.0)).alias("o")).dropna()
+    # every round reads the narrow matrix, not what it was made from
+    data = Scratch(spark, "glm").write(data, "matrix")
     cols = [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, len(xs) + 1)]]
     k = len(cols)
     m0 = data.agg(F.avg("y").alias("m"), F.avg(F.exp("o")).alias("eo"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()[0]

@@ -23,11 +23,11 @@ NEEDS = {
     "independent_t": ("group", "outcome", "level_a", "level_b"), "equivalence_tost_independent": ("group", "outcome", "level_a", "level_b", "low", "high"), "paired_t": ("pair", "condition", "outcome", "level_a", "level_b"), "equivalence_tost_paired": ("pair", "condition", "outcome", "level_a", "level_b", "low", "high"),
     "mann_whitney": ("group", "outcome", "level_a", "level_b"), "wilcoxon": ("pair", "condition", "outcome", "level_a", "level_b"), "pearson": ("x", "y"), "spearman": ("x", "y"),
     "linear_regression": ("outcome", "predictors"), "ancova_two_group": ("outcome", "group", "level_a", "level_b", "covariates"), "logistic_regression": ("outcome", "predictors", "event"), "poisson_regression": ("outcome", "predictors"),
-    "welch_anova": ("group", "outcome", "levels"), "welch_contrast": ("group", "outcome", "weights"), "chi_square": ("row", "col"), "fisher_exact": ("row", "col", "row_level", "col_level"),
+    "welch_anova": ("group", "outcome", "levels"), "welch_contrast": ("group", "outcome", "weights"), "chi_square": ("row", "col"), "fisher_exact": ("row", "col"),
 }
 METHODS = ("none", "bonferroni", "holm", "bh")
 FILTERS = ("eq", "ne", "in", "not_in", "isna", "notna", "lt", "le", "gt", "ge")
-RESULT = "item_id string, type string, family string, n long, estimate double, ci_low double, ci_high double, statistic double, p_value double, effect_size double, problem string"
+RESULT = "item_id string, type string, family string, n long, estimate double, ci_low double, ci_high double, statistic double, p_value double, effect_size double, problem string, method string"
 
 
 def validate(plan: dict) -> list[tuple[str, str, str]]:
@@ -94,11 +94,11 @@ def run_item(df: DataFrame, a: dict, scratch: Scratch) -> DataFrame:
         r = row(r, n=c("n"), estimate=c("estimate"), se=c("se"), df=c("df"), statistic=c("statistic"), effect_size=c("effect_size"), tail=text("t" if kind == "paired_t" else "tost"), problem=bad)
     elif kind == "mann_whitney":
         r = stats.mann_whitney(df, a["group"], a["outcome"], a["level_a"], a["level_b"], scratch)
-        r = row(r, n=c("n_a") + c("n_b"), estimate=c("u"), statistic=c("z"), effect_size=c("effect_size"), tail=text("z"), problem=F.when((c("n_a") == 0) | (c("n_b") == 0), "a level has no rows"))
+        r = row(r, n=c("n_a") + c("n_b"), estimate=c("u"), statistic=c("z"), effect_size=c("effect_size"), tail=F.concat(F.lit("u:"), F.concat_ws(",", *[c(x).cast("string") for x in ("u", "n_a", "n_b", "ties")])), problem=F.when((c("n_a") == 0) | (c("n_b") == 0), "a level has no rows"))
     elif kind == "wilcoxon":
         r = stats.wilcoxon(stats.paired_values(df, a["pair"] if isinstance(a["pair"], list) else [a["pair"]], a["condition"], a["outcome"], a["level_a"], a["level_b"]), scratch)
         mean, sd = c("n") * (c("n") + 1) / 4.0, F.sqrt(c("n") * (c("n") + 1) * (2 * c("n") + 1) / 24.0 - c("ties") / 48.0)
-        r = row(r, n=c("n"), estimate=c("w"), statistic=(c("w_plus") - mean) / sd, effect_size=c("effect_size"), tail=text("z"), problem=F.when(F.coalesce(c("n"), F.lit(0)) == 0, "all differences are 0"))
+        r = row(r, n=c("n"), estimate=c("w"), statistic=F.try_divide(c("w_plus") - mean, sd), effect_size=c("effect_size"), tail=F.concat(F.lit("w:"), F.concat_ws(",", *[c(x).cast("string") for x in ("w_plus", "n", "ties", "zeros")])), problem=F.when(F.coalesce(c("n"), F.lit(0)) == 0, "all differences are 0"))
     elif kind == "pearson":
         r = stats.pearson(df, a["x"], a["y"])
         t = c("estimate") * F.sqrt((c("n") - 2) / (1 - c("estimate") ** 2))
@@ -126,23 +126,23 @@ def run_item(df: DataFrame, a: dict, scratch: Scratch) -> DataFrame:
         focus = a.get("focus") or a["predictors"][0]
         r = row(stats.glm(df, y, list(a["predictors"]), fam, "_offset" if a.get("exposure") else None).where(c("term") == focus), n=c("n"), estimate=c("estimate"), se=c("se"), statistic=c("statistic"), effect_size=c("ratio"), tail=text("normal"))
     elif kind == "welch_anova":
-        r = row(stats.welch_anova(df, a["group"], a["outcome"], a["levels"]), n=c("n"), statistic=c("statistic"), df=c("df1"), df2=c("df2"), effect_size=c("effect_size"), tail=text("f"))
+        r = row(stats.welch_anova(df, a["group"], a["outcome"], a["levels"]), n=c("n"), statistic=c("statistic"), df=c("df1"), df2=c("df2"), effect_size=c("effect_size"), tail=text("f"), problem=c("problem"))
     elif kind == "welch_contrast":
-        r = row(stats.welch_contrast(df, a["group"], a["outcome"], a["weights"]), estimate=c("estimate"), se=c("se"), df=c("df"), statistic=c("statistic"), tail=text("t"))
+        r = row(stats.welch_contrast(df, a["group"], a["outcome"], a["weights"]), estimate=c("estimate"), se=c("se"), df=c("df"), statistic=c("statistic"), tail=text("t"), problem=c("problem"))
     elif kind == "chi_square":
-        r = row(stats.chi_square(df, a["row"], a["col"]), n=c("n"), statistic=c("statistic"), df=c("df"), effect_size=c("effect_size"), tail=text("chi2"))
+        r = row(stats.chi_square(df, a["row"], a["col"]), n=c("n"), statistic=c("statistic"), df=c("df"), effect_size=c("effect_size"), tail=text("chi2"), problem=c("problem"))
     else:
-        f = stats.fisher(df, a["row"], a["col"], a["row_level"], a["col_level"], level)
+        f = stats.fisher(df, a["row"], a["col"], a.get("row_levels"), a.get("col_levels"), level)
         packed = F.concat_ws(",", *[c(x).cast("string") for x in "abcd"])
-        r = row(f, n=c("a") + c("b") + c("c") + c("d"), estimate=c("estimate"), ci_low=c("ci_low"), ci_high=c("ci_high"), effect_size=c("estimate"), tail=F.concat(F.lit("fisher:"), packed))
+        r = row(f, n=c("a") + c("b") + c("c") + c("d"), estimate=c("estimate"), ci_low=c("ci_low"), ci_high=c("ci_high"), effect_size=c("estimate"), tail=F.concat(F.lit("fisher:"), packed), problem=c("problem"))
     low, high = a.get("low"), a.get("high")
 
     def tails(batches):
         for b in batches:
             out = b.copy()
-            ps, lows, highs = [], [], []
+            ps, lows, highs, how = [], [], [], []
             for x in b.itertuples():
-                p, ci = None, (x.ci_low, x.ci_high)
+                p, ci, m = None, (x.ci_low, x.ci_high), None if x.tail is None else x.tail.split(":")[0]
                 ok = x.problem is None and x.tail is not None
                 stat = None if x.statistic is None or (isinstance(x.statistic, float) and math.isnan(x.statistic)) else x.statistic
                 if ok and x.tail.startswith("fisher:"):
@@ -158,8 +158,12 @@ def run_item(df: DataFrame, a: dict, scratch: Scratch) -> DataFrame:
                     elif x.tail == "normal":
                         p, h = 2 * (1 - dist.norm_cdf(abs(stat))), dist.norm_ppf(0.5 + level / 2) * x.se
                         ci = (x.estimate - h, x.estimate + h)
-                    elif x.tail == "z":
-                        p = 2 * (1 - dist.norm_cdf(abs(stat)))
+                    elif m in ("u", "w"):
+                        v, n1, n2, ties = x.tail[2:].split(",") if m == "u" else [(q := x.tail[2:].split(","))[0], q[1], q[3], q[2]]
+                        # as is usual: exact for a small sample without ties (and without zeros)
+                        small = float(ties) == 0 and (min(int(n1), int(n2)) <= 8 and int(n1) * int(n2) <= dist.MAX_CELLS if m == "u" else int(n1) <= 50 and int(n2) == 0)
+                        p = (dist.mann_whitney_exact(float(v), int(n1), int(n2)) if m == "u" else dist.wilcoxon_exact(float(v), int(n1))) if small else 2 * (1 - dist.norm_cdf(abs(stat)))
+                        m = "exact" if small else "normal"
                     elif x.tail == "stat":
                         p = dist.t_two_sided(stat, x.df)
                     elif x.tail == "f":
@@ -167,10 +171,11 @@ def run_item(df: DataFrame, a: dict, scratch: Scratch) -> DataFrame:
                     elif x.tail == "chi2":
                         p = dist.chi2_sf(stat, x.df)
                 ps.append(p)
+                how.append(m if p is not None else None)
                 lows.append(ci[0])
                 highs.append(ci[1])
             out["p_value"], out["ci_low"], out["ci_high"] = pd.Series(ps, dtype="float64"), pd.Series(lows, dtype="float64"), pd.Series(highs, dtype="float64")
-            yield pd.DataFrame({"item_id": [a["id"]] * len(b), "type": [kind] * len(b), "family": [a.get("family")] * len(b)} | {k: out[k] for k in ("n", "estimate", "ci_low", "ci_high", "statistic", "p_value", "effect_size", "problem")})
+            yield pd.DataFrame({"item_id": [a["id"]] * len(b), "type": [kind] * len(b), "family": [a.get("family")] * len(b)} | {k: out[k] for k in ("n", "estimate", "ci_low", "ci_high", "statistic", "p_value", "effect_size", "problem")} | {"method": how})
 
     return r.mapInPandas(tails, RESULT)
 

@@ -55,16 +55,20 @@ def merged_records(s: SparkSession, d: str) -> DataFrame:
     return linkage.merge_records(r, linkage.duplicate_groups(r), ["title", "authors", "year", "venue", "doi", "pmid", "source"])
 
 
-_STOPS = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
+_STOPS = ", ".join(f"'{w}'" for w in "a an and are as at be been by can could for from has have in into is it its may method methods model models of on or our paper result results study studies system systems that the their this to using via was we were with".split())
 
 
-@query("tfidf_weights", f"""WITH r AS (SELECT record_id, max(title) AS title FROM records GROUP BY 1), t AS (SELECT record_id, unnest(regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z0-9_-]{{2,}}')) AS term FROM r),
+def _topic_texts(s: SparkSession, d: str) -> DataFrame:
+    """record_id, text: title and abstract of every record."""
+    return table(s, d, "records").groupBy("record_id").agg(F.max(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))).alias("text"))
+
+
+@query("tfidf_weights", f"""WITH r AS (SELECT record_id, max(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS title FROM records GROUP BY 1), t AS (SELECT record_id, unnest(regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z0-9_-]{{2,}}')) AS term FROM r),
   f AS (SELECT record_id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOPS}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM f GROUP BY term), n AS (SELECT count(*) AS n FROM r),
   w AS (SELECT record_id, term, tf, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM f JOIN df USING (term), n)
   SELECT record_id, term, tf, df, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY record_id)), 6) AS weight FROM w""")
 def tfidf_weights(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "records").groupBy("record_id").agg(F.max("title").alias("title"))
-    return linkage.tfidf(r, "record_id", F.col("title")).withColumn("weight", F.round("weight", 6))
+    return linkage.tfidf(_topic_texts(s, d), "record_id", F.col("text")).withColumn("weight", F.round("weight", 6))
 
 
 @query("screening_rules", """WITH r AS (SELECT DISTINCT record_id, lower(coalesce(title, '')) AS t, lower(trim(coalesce(publication_type, ''))) AS p, trim(coalesce(year, '')) AS y FROM records)

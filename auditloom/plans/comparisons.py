@@ -86,9 +86,8 @@ def pair_uniqueness(s: SparkSession, d: str) -> DataFrame:
 @query("typed_levels", """SELECT kind, count(*) AS n, count(DISTINCT v) AS levels FROM (SELECT CASE json_type(json_extract(props, '$.k')) WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'missing' ELSE CASE WHEN json_extract(props, '$.k') IS NULL THEN 'missing' ELSE 'num' END END AS kind,
   CAST(json_extract(props, '$.k') AS VARCHAR) AS v FROM events) GROUP BY kind""")
 def typed_levels(s: SparkSession, d: str) -> DataFrame:
-    raw = F.get_json_object("props", "$.k")
-    # the value as JSON text: quoted unless it reads as a number, flag or structure in the source
-    text = F.when(F.col("props").rlike(r'"k":\s*"'), F.concat(F.lit('"'), raw, F.lit('"'))).otherwise(raw)
+    # the value as JSON text, with its type
+    text = F.to_json(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant"))
     return table(s, d, "events").select(json_kind(text).alias("kind"), text.alias("v")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("levels"))
 
 
@@ -216,9 +215,9 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @query("welch_anova", """WITH p AS (SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v, count(*) / var_samp(o_totalprice) AS w FROM orders GROUP BY 1),
-  t AS (SELECT count(*) AS k, sum(n) AS n, sum(w) AS W_all, sum(w * m) / sum(w) AS mw, sum(n * m) / sum(n) AS mn FROM p),
-  s AS (SELECT any_value(k) AS k, any_value(t.n) AS n, sum(w * (m - mw) ** 2) AS b, sum((1 - w / W_all) ** 2 / (p.n - 1)) AS lam, sum(p.n * (m - mn) ** 2) AS ssb, sum((p.n - 1) * v) AS ssw FROM p, t)
-  SELECT k, CAST(n AS BIGINT) AS n, round(b / (k - 1) / (1 + 2.0 * (k - 2) / (k * k - 1) * lam), 4) AS statistic, CAST(k - 1 AS DOUBLE) AS df1, round((k * k - 1) / (3 * lam), 3) AS df2, round(sqrt(ssb / ssw), 5) AS effect_size FROM s""")
+  t AS (SELECT count(*) AS k, sum(n) AS n, sum(w) AS W_all, sum(w * m) / sum(w) AS mw FROM p),
+  s AS (SELECT any_value(k) AS k, any_value(t.n) AS n, sum(w * (m - mw) ** 2) AS b, sum((1 - w / W_all) ** 2 / (p.n - 1)) AS lam FROM p, t)
+  SELECT k, CAST(n AS BIGINT) AS n, round(b / (k - 1) / (1 + 2.0 * (k - 2) / (k * k - 1) * lam), 4) AS statistic, CAST(k - 1 AS DOUBLE) AS df1, round((k * k - 1) / (3 * lam), 3) AS df2, round(sqrt(b / n), 5) AS effect_size FROM s""")
 def welch_anova(s: SparkSession, d: str) -> DataFrame:
     r = stats.welch_anova(table(s, d, "orders"), "o_orderpriority", "o_totalprice", _PRIORITIES)
     return r.select("k", "n", F.round("statistic", 4).alias("statistic"), "df1", F.round("df2", 3).alias("df2"), F.round("effect_size", 5).alias("effect_size"))
@@ -239,15 +238,15 @@ def welch_contrast(s: SparkSession, d: str) -> DataFrame:
     round(sqrt(sum((o - e) ** 2 / e) / ((SELECT n FROM t) * (least((SELECT count(*) FROM rs), (SELECT count(*) FROM cs)) - 1))), 5) AS effect_size, round(min(e), 5) AS least_expected FROM x""")
 def chi_square_v(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "nation").select("n_nationkey", "n_regionkey")
-    return rounded(stats.chi_square(table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")), "c_mktsegment", "n_regionkey"), 5)
+    return rounded(stats.chi_square(table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")), "c_mktsegment", "n_regionkey").drop("problem"), 5)
 
 
-@query("fisher_or", """WITH t AS (SELECT count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS b, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS c, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'F') AS d FROM lineitem),
+@query("fisher_or", """WITH t AS (SELECT count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS b, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'F') AS c, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS d FROM lineitem),
   x AS (SELECT *, CASE WHEN least(a, b, c, d) = 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS k FROM t)
   SELECT a, b, c, d, round((a + k) * (d + k) / ((b + k) * (c + k)), 5) AS estimate, round(exp(ln((a + k) * (d + k) / ((b + k) * (c + k))) - 1.959963984540054 * sqrt(1 / (a + k) + 1 / (b + k) + 1 / (c + k) + 1 / (d + k))), 5) AS ci_low,
     round(exp(ln((a + k) * (d + k) / ((b + k) * (c + k))) + 1.959963984540054 * sqrt(1 / (a + k) + 1 / (b + k) + 1 / (c + k) + 1 / (d + k))), 5) AS ci_high FROM x""")
 def fisher_or(s: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.fisher(table(s, d, "lineitem"), "l_returnflag", "l_linestatus", "R", "F"), 5)
+    return rounded(stats.fisher(table(s, d, "lineitem"), "l_returnflag", "l_linestatus", ["R", "N"], ["F", "O"]).drop("problem"), 5)
 
 
 _P = "(CAST((p_partkey * 7919) % 10007 + 1 AS DOUBLE) / 10008)"

@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_MEMBERS, MAX_MEMBER_BYTES = 100_000, 512 * 1024 * 1024
+from auditloom.operators.ordering import with_running_sum
+from auditloom.scratch import Scratch
+
+MAX_MEMBERS = 100_000
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -68,6 +71,19 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return df.where("_bad is null").drop("_bad"), bad
 
 
+def numbered_lines(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
+    """file, line (from 1), value of every line. Files are split as usual: a line's number is a running count over its file's blocks."""
+    scratch = scratch or Scratch(spark, "lines")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value", F.lit(1).cast("long").alias("_one"))
+    return with_running_sum(lines, ["file"], ["_block", "_at"], "_one", scratch, "numbered", "line").select("file", "line", "value")
+
+
+def bad_lines(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
+    """file, line, value of the lines that hold no JSON object; blank ones are none."""
+    v = F.try_parse_json("value")
+    return numbered_lines(spark, path, scratch).where((F.trim("value") != "") & ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a CSV, JSON lines, a JSON list, or an object that holds them under records, items, results or data; one JSON text a record."""
     kind = PurePosixPath(path).suffix.lower()
@@ -119,7 +135,7 @@ def classify_files(files: DataFrame, patterns: dict[str, str], max_depth: int |
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, size, sha256 of ZIP files' members; members that point outside are marked unsafe."""
+    """archive, member, size, sha256 of ZIP files' members; members that point outside are marked unsafe and not read. A member is hashed in blocks, however large."""
     import hashlib
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +151,7 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                             continue
                         unsafe = i.filename.startswith("/") or ".." in PurePosixPath(i.filename).parts
                         digest = None
-                        if not unsafe and i.file_size <= MAX_MEMBER_BYTES:
+                        if not unsafe:
                             h = hashlib.sha256()
                             with z.open(i) as f:
                                 for block in iter(lambda: f.read(1 << 20), b""):

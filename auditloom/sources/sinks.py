@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,15 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         raise ValueError(f"no sink for {kind or 'paths without extension'}")
 
 
+def inside(root: str, path: str) -> str:
+    """The path below the root; one that leads out of it is refused."""
+    base = posixpath.normpath(root)
+    full = posixpath.normpath(path if path.startswith(("/", "file:", base)) else posixpath.join(base, path))
+    if full != base and not full.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"{path} lies outside {root}")
+    return full
+
+
 def project_text(df: DataFrame, fields: list[str]) -> DataFrame:
     """A fixed list of text columns: extra ones left out, missing ones blank."""
     return df.select(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields])
