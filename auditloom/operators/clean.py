@@ -11,14 +11,16 @@ from auditloom.operators.quantiles import quantiles
 from auditloom.scratch import Scratch
 
 
-def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, missing, missing_fraction, distinct_values of each column, in one pass."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in columns:
-        aggs += [F.count(c).alias(f"k_{c}"), F.countDistinct(c).alias(f"d_{c}")]
-    one = df.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"k_{c}").alias("k"), F.col(f"d_{c}").alias("distinct_values")) for c in columns]))
-    return one.select("n", rows.alias("r")).select("r.column", "n", (F.col("n") - F.col("r.k")).alias("missing"), ((F.col("n") - F.col("r.k")) / F.col("n")).alias("missing_fraction"), "r.distinct_values")
+def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, n, missing, missing_fraction, distinct_values of each column (all of them by default).
+
+    Values are counted in long form: one narrow row a column and value, combined before the shuffle.
+    """
+    columns = columns or df.columns
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("e")).select("e.column", "e.v")
+    per = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("k"))
+    out = per.groupBy("column").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("k"))), F.lit(0)).alias("missing"), F.count("v").alias("distinct_values"))
+    return out.select("column", "n", "missing", (F.col("missing") / F.col("n")).alias("missing_fraction"), "distinct_values")
 
 
 def profile_numbers(df: DataFrame, columns: list[str], scratch: Scratch | None = None) -> DataFrame:

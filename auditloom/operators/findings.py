@@ -133,3 +133,10 @@ def columns_contract(df: DataFrame, required: list[str]) -> DataFrame:
 def migrate_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """The table with blank columns where the contract has more; content is never inferred."""
     return reduce(lambda d, c: d.withColumn(c, F.lit("")), [c for c in required if c not in df.columns], df)
+
+
+def multiset_difference(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """only_left, only_right: how many rows of either side the other lacks, each counted (null equals null). One aggregate in place of two differences."""
+    tagged = left.select(*columns, F.lit(1).alias("_w")).unionByName(right.select(*columns, F.lit(-1).alias("_w")))
+    n = tagged.groupBy(*columns).agg(F.sum("_w").alias("_d"))
+    return n.agg(F.coalesce(F.sum(F.greatest("_d", F.lit(0))), F.lit(0)).cast("long").alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).cast("long").alias("only_right"))

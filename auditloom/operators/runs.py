@@ -24,6 +24,13 @@ def planned_runs(planned: DataFrame, attempts: DataFrame, fields: list[str]) ->
     ])
 
 
+def missing_cells(attempts: DataFrame, unit: str, condition: str, declared: list[str]) -> DataFrame:
+    """unit, condition of the declared conditions that a unit was never run under; every unit is expanded by the declared list, without a join."""
+    done = attempts.select(unit, condition).distinct()
+    planned = done.select(unit).distinct().select(unit, F.explode(F.array(*[F.lit(x) for x in declared])).alias(condition))
+    return planned.join(done, [unit, condition], "left_anti")
+
+
 def attempt_times(attempts: DataFrame, started: str = "started_at", finished: str = "finished_at", seconds: str = "runtime_seconds") -> DataFrame:
     """Times without zone, ends before starts, and runtimes off by more than the displayed digits allow."""
     s, f = L.iso_time(F.col(started)), L.iso_time(F.col(finished))

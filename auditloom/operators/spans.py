@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.operators.ordering import with_running
+from auditloom.operators.ordering import with_previous, with_running
 from auditloom.scratch import Scratch
 
 _START, _END = re.compile(r"<!--\s*CLAIM:(\S+?)\s*-->"), re.compile(r"<!--\s*END-CLAIM:(\S+?)\s*-->")
@@ -58,19 +58,27 @@ def overlaps(spans: DataFrame, group: list[str], start: str, end: str, ident: st
     return swept.where(F.col(start) < F.col("covered_until"))
 
 
-def coverage(spans: DataFrame, key: str) -> DataFrame:
+def coverage(spans: DataFrame, key: str, scratch: Scratch | None = None) -> DataFrame:
     """key, paragraph_start, length, covered: characters of each paragraph inside claim spans (overlaps count once).
 
-    Spans are merged by a sweep, then clipped to the paragraph by an interval join within the document.
+    One sweep over both: where a position lies, a running sum tells how many claim spans are open, another one how much of the
+    document they had covered so far; a paragraph's share is the difference between its end and its start. The running values
+    come from range partitions, so a document of any length is no single task and no pair of spans is formed.
     """
+    scratch = scratch or Scratch(spans.sparkSession, "coverage")
     claims = spans.where("kind = 'claim' and end > start")
-    w = Window.partitionBy(key).orderBy("start", "end")
-    new = F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    merged = claims.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_run").agg(F.min("start").alias("cs"), F.max("end").alias("ce"))
-    paras = spans.where("kind = 'paragraph'").select(key, F.col("start").alias("ps"), F.col("end").alias("pe"))
-    clip = F.greatest(F.lit(0), F.least("pe", "ce") - F.greatest("ps", "cs"))
-    j = paras.join(merged, key, "left").withColumn("c", F.coalesce(clip, F.lit(0)))
-    return j.groupBy(key, F.col("ps").alias("paragraph_start"), (F.col("pe") - F.col("ps")).alias("length")).agg(F.sum("c").alias("covered"))
+    paras = spans.where("kind = 'paragraph'").select(key, "start", "end").distinct()
+    mark = lambda df, at, step, para: df.select(key, F.col(at).alias("at"), F.lit(step).cast("long").alias("step"), F.lit(para).alias("para"), F.col("start").alias("ps"), F.col("end").alias("pe"))
+    marks = mark(claims, "start", 1, 0).unionByName(mark(claims, "end", -1, 0)).unionByName(mark(paras, "start", 0, 1)).unionByName(mark(paras, "end", 0, 2))
+    # one row a position of a document: how many spans open or close there
+    at = marks.groupBy(key, "at").agg(F.sum("step").alias("step"))
+    before = with_previous(at, [key], ["at"], "at", scratch, "points", "last_at")
+    opened = with_running(scratch.write(before, "steps"), [key], ["at"], {"open": ("step", "sum", False)}, scratch, "open")
+    grown = scratch.write(opened.withColumn("grown", F.when((F.col("open") > 0) & F.col("last_at").isNotNull(), F.col("at") - F.col("last_at")).otherwise(F.lit(0)).cast("long")), "grown")
+    sums = with_running(grown, [key], ["at"], {"covered": ("grown", "sum", True)}, scratch, "covered").select(key, "at", "covered")
+    ends = marks.where("para > 0").join(sums, [key, "at"])
+    side = lambda n: F.max(F.when(F.col("para") == n, F.col("covered")))
+    return ends.groupBy(key, F.col("ps").alias("paragraph_start"), (F.col("pe") - F.col("ps")).alias("length")).agg((side(2) - side(1)).alias("covered"))
 
 
 def sections_of(points: DataFrame, spans: DataFrame, key: str, pos: str) -> DataFrame:

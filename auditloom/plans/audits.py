@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import ledger as L
 from auditloom.functions.text import norm
-from auditloom.operators import clean, findings, hashing, linkage, literature, manuscript, power, spans
+from auditloom.operators import figures, findings, graph, hashing, linkage, literature, manuscript, power, runs, spans
 from auditloom.operators.ordering import with_running_sum
 from auditloom.plans.tables import table
 from auditloom.scratch import Scratch
@@ -72,23 +72,19 @@ def tfidf_weights(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("screening_rules", """WITH r AS (SELECT DISTINCT record_id, lower(coalesce(title, '')) AS t, lower(trim(coalesce(publication_type, ''))) AS p, trim(coalesce(year, '')) AS y FROM records)
-  SELECT record_id, rule FROM (SELECT record_id, unnest([CASE WHEN contains(t, 'sensitivity') OR contains(t, 'robust') THEN 'any_term' END, CASE WHEN contains(t, 'primary') AND contains(t, 'outcome') THEN 'all_terms' END,
-    CASE WHEN p = 'dataset' THEN 'type' END, CASE WHEN y = '' THEN 'no_year' END, CASE WHEN regexp_matches(y, '^20(1[0-4]|0[0-9])') THEN 'old' END]) AS rule FROM r) WHERE rule IS NOT NULL""")
+  SELECT record_id, rule_id FROM (SELECT record_id, unnest([CASE WHEN contains(t, 'sensitivity') OR contains(t, 'robust') THEN 'any_term' END, CASE WHEN contains(t, 'primary') AND contains(t, 'outcome') THEN 'all_terms' END,
+    CASE WHEN p = 'dataset' THEN 'type' END, CASE WHEN y = '' THEN 'no_year' END, CASE WHEN regexp_matches(y, '^20(1[0-4]|0[0-9])') THEN 'old' END]) AS rule_id FROM r) WHERE rule_id IS NOT NULL""")
 def screening_rules(s: SparkSession, d: str) -> DataFrame:
-    t, p, y = F.lower(F.coalesce("title", F.lit(""))), F.lower(norm("publication_type")), norm("year")
-    # the rules are compiled into one array, so each record is read once and no join is needed
-    rules = [("any_term", t.contains("sensitivity") | t.contains("robust")), ("all_terms", t.contains("primary") & t.contains("outcome")), ("type", p == "dataset"), ("no_year", y == ""), ("old", y.rlike("^20(1[0-4]|0[0-9])"))]
-    hit = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
-    return table(s, d, "records").select("record_id", F.explode(F.array_distinct(hit)).alias("rule")).distinct()
+    rules = [{"id": "any_term", "op": "contains_any", "field": "title", "values": ["sensitivity", "robust"]}, {"id": "all_terms", "op": "contains_all", "field": "title", "values": ["primary", "outcome"]}, {"id": "type", "op": "equals", "field": "publication_type", "values": ["dataset"]}, {"id": "no_year", "op": "missing", "field": "year"}, {"id": "old", "op": "regex", "field": "year", "pattern": "^20(1[0-4]|0[0-9])"}]
+    return literature.matching_rules(table(s, d, "records"), rules)
 
 
-@query("source_coverage", """WITH t AS (SELECT unnest(['index_a', 'index_b', 'manual', 'registry']) AS source), r AS (SELECT lower(trim(coalesce(source, ''))) AS source, count(*) AS rows, count(*) FILTER (trim(coalesce(abstract, '')) <> '') AS with_abstract FROM records GROUP BY 1)
-  SELECT t.source, coalesce(rows, 0) AS rows, CASE WHEN rows IS NULL THEN 'not_attempted' WHEN with_abstract = rows THEN 'succeeded' WHEN with_abstract = 0 THEN 'failed' ELSE 'partial' END AS status FROM t LEFT JOIN r USING (source)""")
+@query("source_coverage", """WITH t AS (SELECT unnest(['index_a', 'index_b', 'manual', 'registry']) AS source), r AS (SELECT trim(coalesce(source, '')) AS source, count(*) AS queries, count(*) FILTER (trim(coalesce(abstract, '')) <> '') AS good FROM records GROUP BY 1)
+  SELECT t.source, coalesce(queries, 0) AS queries, CASE WHEN queries IS NULL THEN 'not_attempted' WHEN good = queries THEN 'succeeded' WHEN good = 0 THEN 'failed' ELSE 'partial' END AS status FROM t LEFT JOIN r USING (source)""")
 def source_coverage(s: SparkSession, d: str) -> DataFrame:
-    targets = s.createDataFrame([(x,) for x in ("index_a", "index_b", "manual", "registry")], "source string")
-    r = table(s, d, "records").groupBy(F.lower(norm("source")).alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(norm("abstract") != "", 1)).alias("with_abstract"))
-    status = F.when(F.col("rows").isNull(), "not_attempted").when(F.col("with_abstract") == F.col("rows"), "succeeded").when(F.col("with_abstract") == 0, "failed").otherwise("partial")
-    return targets.join(r, "source", "left").select("source", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), status.alias("status"))
+    none = F.lit(None).cast("string")
+    log = table(s, d, "records").select("source", F.when(norm("abstract") != "", "succeeded").otherwise("failed").alias("search_status"), none.alias("notes"), none.alias("result_count"), none.alias("imported_count"))
+    return literature.source_status(log, ["index_a", "index_b", "manual", "registry"])
 
 
 @query("flow_counts", """SELECT coalesce(nullif(lower(trim(publication_type)), ''), 'blank') AS publication_type, count(*) AS rows, count(DISTINCT record_id) AS records, count(*) FILTER (deleted_at IS NOT NULL) AS deleted FROM records GROUP BY 1""")
@@ -97,15 +93,36 @@ def flow_counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "records").groupBy(F.when(p == "", "blank").otherwise(p).alias("publication_type")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("record_id").alias("records"), F.count("deleted_at").alias("deleted"))
 
 
-@query("graph_counts", """SELECT 'node' AS part, 'record' AS type, count(DISTINCT record_id) AS n FROM records UNION ALL SELECT 'node', 'claim', count(DISTINCT trim(claim_id)) FROM claims UNION ALL SELECT 'node', 'evidence', count(DISTINCT trim(evidence_id)) FROM evidence
-  UNION ALL SELECT 'edge', lower(trim(coalesce(relation, ''))), count(DISTINCT (trim(coalesce(source_id, '')), trim(coalesce(target_id, '')))) FROM citation_trail GROUP BY 2
-  UNION ALL SELECT 'edge', 'claim_evidence', count(DISTINCT (trim(claim_id), trim(e))) FROM (SELECT claim_id, unnest(evidence_ids) AS e FROM claims) WHERE trim(e) <> ''""")
+_NODES = "nd AS (SELECT 'record' AS type, trim(record_id) AS id FROM records UNION SELECT 'claim', trim(claim_id) FROM claims UNION SELECT 'evidence', trim(evidence_id) FROM evidence UNION SELECT 'source', trim(source_id) FROM sources)"
+_EDGES = """ed AS (SELECT lower(trim(coalesce(relation, ''))) AS type, trim(coalesce(source_id, '')) AS source, trim(coalesce(target_id, '')) AS target FROM citation_trail UNION SELECT 'claim_evidence', trim(claim_id), trim(x) FROM (SELECT claim_id, unnest(evidence_ids) AS x FROM claims)
+  UNION SELECT 'evidence_source', trim(evidence_id), trim(source_id) FROM evidence), ek AS (SELECT * FROM ed WHERE source <> '' AND target <> '')"""
+
+
+def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda n: table(s, d, n)
+    return graph.nodes(t("records"), t("claims"), t("evidence"), t("sources")), graph.edges(t("citation_trail"), t("claims"), t("evidence"))
+
+
+@query("graph_nodes", f"WITH {_NODES} SELECT type, id FROM nd WHERE id <> ''")
+def graph_nodes(s: SparkSession, d: str) -> DataFrame:
+    return _graph(s, d)[0]
+
+
+@query("graph_edges", f"WITH {_EDGES} SELECT type, source, target FROM ek")
+def graph_edges(s: SparkSession, d: str) -> DataFrame:
+    return _graph(s, d)[1]
+
+
+@query("graph_counts", f"WITH {_NODES}, {_EDGES} SELECT 'node' AS part, type, count(*) AS n FROM nd WHERE id <> '' GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM ek GROUP BY type")
 def graph_counts(s: SparkSession, d: str) -> DataFrame:
-    node = lambda t, k, n: table(s, d, t).where(f"{k} is not null").select(F.lit("node").alias("part"), F.lit(n).alias("type"), F.trim(k).alias("a"), F.lit("").alias("b"))
-    cites = table(s, d, "citation_trail").select(F.lit("edge").alias("part"), F.lower(norm("relation")).alias("type"), norm("source_id").alias("a"), norm("target_id").alias("b"))
-    uses = table(s, d, "claims").select("claim_id", F.explode("evidence_ids").alias("e")).select(F.lit("edge").alias("part"), F.lit("claim_evidence").alias("type"), F.trim("claim_id").alias("a"), F.trim("e").alias("b")).where("b <> ''")
-    every = node("records", "record_id", "record").unionByName(node("claims", "claim_id", "claim")).unionByName(node("evidence", "evidence_id", "evidence")).unionByName(cites).unionByName(uses)
-    return every.distinct().groupBy("part", "type").agg(F.count(F.lit(1)).alias("n"))
+    nodes, edges = _graph(s, d)
+    return nodes.select(F.lit("node").alias("part"), "type").unionByName(edges.select(F.lit("edge").alias("part"), "type")).groupBy("part", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_dangling", f"""WITH {_NODES}, {_EDGES} SELECT type, source, target, 'source' AS missing FROM ek WHERE type = 'claim_evidence' AND source NOT IN (SELECT id FROM nd WHERE type = 'claim' AND id IS NOT NULL) UNION ALL SELECT type, source, target, 'target' FROM ek WHERE type = 'claim_evidence' AND target NOT IN (SELECT id FROM nd WHERE type = 'evidence' AND id IS NOT NULL)
+  UNION ALL SELECT type, source, target, 'source' FROM ek WHERE type = 'evidence_source' AND source NOT IN (SELECT id FROM nd WHERE type = 'evidence' AND id IS NOT NULL) UNION ALL SELECT type, source, target, 'target' FROM ek WHERE type = 'evidence_source' AND target NOT IN (SELECT id FROM nd WHERE type = 'source' AND id IS NOT NULL)""")
+def graph_dangling(s: SparkSession, d: str) -> DataFrame:
+    return graph.dangling(*_graph(s, d), {"claim_evidence": ("claim", "evidence"), "evidence_source": ("evidence", "source")})
 
 
 # ---- audits
@@ -161,15 +178,17 @@ def reconcile_events(s: SparkSession, d: str) -> DataFrame:
     return findings.reconcile_events(e, "user_id", rank, "decided", ["event_id"])
 
 
-@query("orphan_keys", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 1000)")
+@query("orphan_keys", "SELECT DISTINCT 'error' AS severity, 'no_such_customer' AS rule, CAST(o_orderkey AS VARCHAR) AS entity_id, CAST(o_custkey AS VARCHAR) AS message FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 1000)")
 def orphan_keys(s: SparkSession, d: str) -> DataFrame:
-    kept = table(s, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("o_custkey"))
-    return table(s, d, "orders").where("o_custkey is not null").select("o_orderkey", "o_custkey").join(kept, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    orders = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    return manuscript.foreign_keys(orders, "o_orderkey", "o_custkey", table(s, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").cast("string").alias("c_custkey")), "c_custkey", "no_such_customer").distinct()
 
 
-@query("missing_children", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
+@query("missing_children", "SELECT DISTINCT 'error' AS severity, 'no_large_order' AS rule, CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_custkey AS VARCHAR) AS message FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 def missing_children(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    customers = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"))
+    large = table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").cast("string").alias("o_custkey"))
+    return manuscript.foreign_keys(customers, "c_custkey", "c_custkey", large, "o_custkey", "no_large_order").distinct()
 
 
 _OLD = "(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 0)"
@@ -192,13 +211,12 @@ def full_outer_reconcile(s: SparkSession, d: str) -> DataFrame:
     return findings.full_compare(old, new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
-@query("state_diff", f"""WITH e AS (SELECT o_orderkey, md5(coalesce(o_orderstatus, '') || '|' || CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR)) AS h FROM {_OLD}), a AS (SELECT o_orderkey, md5(coalesce(o_orderstatus, '') || '|' || CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR)) AS h FROM {_NEW})
-  SELECT CASE WHEN e.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' WHEN e.h <> a.h THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n FROM e FULL JOIN a USING (o_orderkey) GROUP BY 1""")
+@query("state_diff", f"""WITH e AS (SELECT o_orderkey, coalesce(o_orderstatus, '') || '|' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS h FROM {_OLD}), a AS (SELECT o_orderkey, coalesce(o_orderstatus, '') || '|' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS h FROM {_NEW})
+  SELECT CASE WHEN e.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' ELSE 'changed' END AS change, count(*) AS n FROM e FULL JOIN a USING (o_orderkey) WHERE e.h IS DISTINCT FROM a.h GROUP BY 1""")
 def state_diff(s: SparkSession, d: str) -> DataFrame:
+    state = lambda o: hashing.record_state(o.select(F.col("o_orderkey").cast("string").alias("k"), "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), "orders", "k", ["o_orderstatus", "cents"])
     old, new = _snapshots(s, d)
-    h = F.md5(F.concat_ws("|", F.coalesce("o_orderstatus", F.lit("")), F.round(F.col("o_totalprice") * 100).cast("long").cast("string")).cast("binary"))
-    j = old.select("o_orderkey", h.alias("e")).join(new.select("o_orderkey", h.alias("a")), "o_orderkey", "full_outer")
-    return j.groupBy(F.when(F.col("e").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("e") != F.col("a"), "changed").otherwise("unchanged").alias("change")).agg(F.count(F.lit(1)).alias("n"))
+    return hashing.diff_states(state(old), state(new)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("interval_overlap", """WITH i AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + CAST(floor(value * 600) AS BIGINT) AS b FROM events),
@@ -222,19 +240,17 @@ def impact_semi_chain(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_semi").distinct()
 
 
-@query("paired_benchmark", """WITH v AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type = 'purchase') AS b FROM events GROUP BY 1), p AS (SELECT b - a AS d FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
-  SELECT count(*) AS cases, round(avg(d), 5) AS mean_delta, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses FROM p""")
+@query("paired_benchmark", """WITH v AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type = 'purchase') AS b FROM events GROUP BY 1), p AS (SELECT a, b, b - a AS d FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
+  SELECT count(*) AS cases, round(avg(a), 5) AS mean_a, round(avg(b), 5) AS mean_b, round(avg(d), 5) AS mean_delta, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses FROM p""")
 def paired_benchmark(s: SparkSession, d: str) -> DataFrame:
-    side = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    p = table(s, d, "events").groupBy("user_id").agg(side("view").alias("a"), side("purchase").alias("b")).dropna().select((F.col("b") - F.col("a")).alias("d"))
-    n = lambda c: F.count(F.when(c, 1))
-    return p.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("d"), 5).alias("mean_delta"), n(F.col("d") > 0).alias("wins"), n(F.col("d") == 0).alias("ties"), n(F.col("d") < 0).alias("losses"))
+    runs_ = table(s, d, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("variant")).agg(F.create_map(F.lit("value"), F.avg("value")).alias("scores"))
+    r = figures.win_tie_loss(figures.paired_scores(runs_, "view", "purchase", "value").where("delta is not null"))
+    return r.select("cases", *[F.round(c, 5).alias(c) for c in ("mean_a", "mean_b", "mean_delta")], "wins", "ties", "losses")
 
 
-@query("failure_pivot", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o, count(*) AS n FROM lineitem GROUP BY 1")
+@query("failure_pivot", "SELECT l_returnflag AS severity, l_linestatus AS category, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def failure_pivot(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
-    return p.select("l_returnflag", F.col("F").alias("f"), F.col("O").alias("o")).join(table(s, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), "l_returnflag")
+    return figures.failure_counts(table(s, d, "lineitem").select(F.array(F.struct(F.col("l_linestatus").alias("category"), F.col("l_returnflag").alias("severity"))).alias("failures")))
 
 
 @query("numeric_tokens", r"SELECT evidence_id, list_transform(regexp_extract_all(coalesce(statement, ''), '[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?'), lambda x: regexp_replace(x, '[,+]', '', 'g')) AS tokens FROM (SELECT DISTINCT evidence_id, statement FROM evidence)")
@@ -250,18 +266,12 @@ def citation_keys(s: SparkSession, d: str) -> DataFrame:
 @query("multiset_equality", "SELECT CAST((SELECT count(*) FROM (SELECT l_suppkey, l_quantity FROM lineitem WHERE l_discount < 0.05 EXCEPT ALL SELECT l_suppkey, l_quantity FROM lineitem WHERE l_tax < 0.04)) AS BIGINT) AS only_left, CAST((SELECT count(*) FROM (SELECT l_suppkey, l_quantity FROM lineitem WHERE l_tax < 0.04 EXCEPT ALL SELECT l_suppkey, l_quantity FROM lineitem WHERE l_discount < 0.05)) AS BIGINT) AS only_right")
 def multiset_equality(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem")
-    tag = t.select("l_suppkey", "l_quantity", F.explode(F.array(F.when(F.col("l_discount") < 0.05, 1), F.when(F.col("l_tax") < 0.04, -1))).alias("side")).where("side is not null")
-    # one aggregate in place of two multiset differences
-    n = tag.groupBy("l_suppkey", "l_quantity").agg(F.sum("side").alias("d"))
-    return n.agg(F.sum(F.greatest("d", F.lit(0))).cast("long").alias("only_left"), F.sum(F.greatest(-F.col("d"), F.lit(0))).cast("long").alias("only_right"))
+    return findings.multiset_difference(t.where("l_discount < 0.05"), t.where("l_tax < 0.04"), ["l_suppkey", "l_quantity"])
 
 
 @query("planned_cross", """WITH p AS (SELECT user_id, unnest(['view', 'click', 'purchase', 'signup', 'error', 'refund']) AS event_type FROM (SELECT DISTINCT user_id FROM events)) SELECT p.user_id, p.event_type FROM p ANTI JOIN events e ON p.user_id = e.user_id AND p.event_type = e.event_type""")
 def planned_cross(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select("user_id", "event_type").distinct()
-    # the conditions are a declared list: every user is expanded by it, without a join
-    planned = e.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in ("view", "click", "purchase", "signup", "error", "refund")])).alias("event_type"))
-    return planned.join(e, ["user_id", "event_type"], "left_anti")
+    return runs.missing_cells(table(s, d, "events"), "user_id", "event_type", ["view", "click", "purchase", "signup", "error", "refund"])
 
 
 @query("tolerance_state", """WITH m AS (SELECT l_suppkey, avg(l_extendedprice) AS obs, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY 1), g AS (SELECT avg(l_extendedprice) AS rep FROM lineitem)
@@ -275,14 +285,8 @@ def tolerance_state(s: SparkSession, d: str) -> DataFrame:
 
 @query("overlap_boxes", """WITH b AS (SELECT p_partkey, p_partkey * 10.0::DOUBLE AS x, CAST(p_size AS DOUBLE) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, round((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / least(a.w, b.w), 6) AS ratio FROM b a JOIN b ON a.p_partkey < b.p_partkey AND a.x < b.x + b.w AND b.x < a.x + a.w""")
 def overlap_boxes(s: SparkSession, d: str) -> DataFrame:
-    cell = 64.0
-    b = table(s, d, "part").select("p_partkey", (F.col("p_partkey") * 10.0).cast("double").alias("x"), F.col("p_size").cast("double").alias("w"))
-    # boxes meet in the grid cells they touch; a pair is kept in the first cell that both touch
-    g = b.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor((F.col("x") + F.col("w")) / cell))))
-    l, r = g.alias("l"), g.alias("r")
-    one, h = F.lit(0.0), F.lit(1.0)
-    j = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.p_partkey") < F.col("r.p_partkey")) & (F.col("l.x") < F.col("r.x") + F.col("r.w")) & (F.col("r.x") < F.col("l.x") + F.col("l.w"))).where(F.col("l.cell") == F.floor(F.greatest("l.x", "r.x") / cell))
-    return j.select(F.col("l.p_partkey").alias("a"), F.col("r.p_partkey").alias("b"), F.round(L.overlap_ratio(F.col("l.x"), one, F.col("l.w"), h, F.col("r.x"), one, F.col("r.w"), h), 6).alias("ratio"))
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 10.0).cast("double").alias("x"), F.lit(0.0).alias("y"), F.col("p_size").cast("double").alias("w"), F.lit(1.0).alias("h"))
+    return figures.box_overlaps(p, p.select(F.col("id").alias("parent"), F.col("id").alias("child")), 0.0, 64.0).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @query("content_hashes", "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
@@ -348,14 +352,15 @@ def affected_claims(s: SparkSession, d: str) -> DataFrame:
     return hashing.affected_claims(gone, table(s, d, "evidence"), table(s, d, "claims"))
 
 
-@query("stream_windows", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+@query("stream_windows", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     schema = table(s, d, "events").schema
     scratch = Scratch(s, "stream")
     # the file is one table's; a stream reads folders, so the path is a pattern that matches it alone
     events = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streaming.windowed_counts(events, "ts", ["event_type"], "value", late="3650 days")
-    return streaming.drain(out, scratch, "windows", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    # a window is told once it can't change any more, and its state is dropped then
+    out = streaming.windowed_counts(events, "ts", ["event_type"], "value", late="10 minutes")
+    return streaming.drain(out, scratch, "windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("result_sanity", """WITH r AS (SELECT *, trim(coalesce(analysis_id, '')) || '/' || trim(coalesce(analysis_item_id, '')) AS e FROM results),

@@ -31,18 +31,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---- profiles and cleaning
 
-_PROFILED = ["l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
+_PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query("profile_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*)::DOUBLE, 6) AS missing_fraction, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in _PROFILED))
 def profile_columns(s: SparkSession, d: str) -> DataFrame:
-    return rounded(clean.profile_columns(table(s, d, "lineitem"), _PROFILED))
+    return rounded(clean.profile_columns(table(s, d, "lineitem")))
 
 
-_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("profile_numeric", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS min, round(avg({c}), 4) AS mean, max({c}) AS max, round(stddev_samp({c}), 4) AS sd, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3 FROM lineitem" for c in _NUMBERS))
+@query("profile_numeric", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, CAST(min({c}) AS DOUBLE) AS min, round(avg({c}), 4) AS mean, CAST(max({c}) AS DOUBLE) AS max, round(stddev_samp({c}), 4) AS sd, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3 FROM lineitem" for c in _NUMBERS))
 def profile_numeric(s: SparkSession, d: str) -> DataFrame:
     return rounded(clean.profile_numbers(table(s, d, "lineitem"), _NUMBERS), 4)
 
@@ -54,9 +54,9 @@ def profile_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("exact_duplicates", """SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicates FROM
-  (SELECT text, lang, source, count(*) AS n FROM documents GROUP BY ALL)""")
+  (SELECT *, count(*) AS n FROM documents GROUP BY ALL)""")
 def exact_duplicates(s: SparkSession, d: str) -> DataFrame:
-    return clean.duplicate_rows(table(s, d, "documents"), ["text", "lang", "source"])
+    return clean.duplicate_rows(docs := table(s, d, "documents"), docs.columns)
 
 
 @query("clean_reject_counts", """SELECT coalesce(CASE WHEN l_shipdate IS NULL THEN 'required' WHEN l_quantity < 5 OR l_quantity > 45 THEN 'range' WHEN l_returnflag NOT IN ('A', 'N') THEN 'level' END, 'kept') AS rule_id,

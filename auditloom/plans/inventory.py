@@ -27,7 +27,13 @@ def query(name: str, sql: str | None = None, **rels: Relation):
         if sql:
             head = ", ".join(f"{n} AS {r.sql}" for n, r in rels.items())
             body = sql.lstrip()
-            SQL[name] = body if not head else f"WITH {head}, {body[5:]}" if body.startswith("WITH ") else f"WITH {head} {body}"
+            for lead in ("WITH RECURSIVE ", "WITH "):
+                if head and body.startswith(lead):
+                    body = f"{lead}{head}, {body[len(lead):]}"
+                    break
+            else:
+                body = f"WITH {head} {body}" if head else body
+            SQL[name] = body
         return f
 
     return keep
