@@ -177,10 +177,37 @@ def is_number(json_text: Column) -> Column:
     return F.coalesce(json_text.rlike(JSON_NUMBER_TEXT), F.lit(False))
 
 
+def with_document_key(docs: DataFrame, payload: str) -> DataFrame:
+    """Adds ``doc``, the payload's digest: with it, ``node`` tells rows of all documents apart, also of those that share or lack their ids."""
+    return docs.withColumn("doc", F.md5(payload))
+
+
+def flat_table(rows: DataFrame, element: str, carry: list[str], keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """One element's flat table from rows of ``shred``: ``carry``, node, parent_element, parent_node (the foreign key), pos, its ancestors' ``keys`` and typed columns.
+
+    Types: string (an object or array as its JSON), double (also from the text of a number); what doesn't fit is null.
+    """
+    def typed(c: str, kind: str) -> Column:
+        text = F.col("columns")[c]
+        if kind == "double":
+            return F.when(is_number(text), F.trim(F.regexp_replace(text, '"', "")).try_cast("double")).alias(c)
+        return F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v").alias(c)
+
+    return rows.where(F.col("element") == element).select(*carry, "node", "parent_element", "parent_node", "pos", *[F.col("parent_keys")[k].alias(f"{k}_key") for k in keys], *[typed(c, k) for c, k in columns.items()])
+
+
+def orphan_nodes(rows: DataFrame) -> DataFrame:
+    """element, rows, orphans: rows of each table below the root, and how many name a parent row (doc, parent_node) that isn't there."""
+    below = rows.where("parent_node is not null").select("doc", "element", "parent_element", F.col("parent_node").alias("node"))
+    up = rows.select("doc", F.col("element").alias("parent_element"), "node", F.lit(1).alias("_there")).distinct()
+    j = below.join(up, ["doc", "parent_element", "node"], "left")
+    return j.groupBy("element").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("_there").isNull(), 1)).alias("orphans"))
+
+
 #: The elements that ``nested_parts`` reads, fixed so that no document can change another one's tables.
 PLAN_GRAPH = [("plan", "planning_items", True), ("planning_items", "scenarios", True), ("planning_items", "contrast_terms", True), ("scenarios", "overrides", False), ("overrides", "contrast_terms", True)]
 _SCENARIO = r"^\$\.planning_items\[\d+\]\.scenarios\[\d+\]$"
-_TERM = r"^\$\.planning_items\[\d+\]\.(scenarios\[\d+\]\.overrides\.)?contrast_terms\[\d+\]$"
+TERM_NODE = r"^\$\.planning_items\[\d+\]\.(scenarios\[\d+\]\.overrides\.)?contrast_terms\[\d+\]$"
 
 
 def nested_parts(plans: DataFrame, claims: DataFrame) -> DataFrame:
@@ -191,7 +218,7 @@ def nested_parts(plans: DataFrame, claims: DataFrame) -> DataFrame:
     scenario = F.get_json_object(F.concat(F.lit('{"v":'), F.col("columns")["scenario_id"], F.lit("}")), "$.v")
     of = lambda kind, sid: rows.select(F.lit(kind).alias("kind"), text(F.col("planning_id")).alias("root_id"), text(F.col("plan_version")).alias("plan_version"), key("planning_items").alias("item_id"), text(sid).alias("scenario_id"), "pos", "element", "columns", "parent_element", "node")
     override = of("override", scenario).where((F.col("element") == "scenarios") & (F.col("parent_element") == "planning_items") & F.col("node").rlike(_SCENARIO) & is_number(F.col("columns")["overrides.mean_difference"]))
-    term = of("term", F.col("parent_keys")["scenarios"]).where((F.col("element") == "contrast_terms") & F.col("parent_element").isin("planning_items", "scenarios") & F.col("node").rlike(_TERM) & is_number(F.col("columns")["weight"]))
+    term = of("term", F.col("parent_keys")["scenarios"]).where((F.col("element") == "contrast_terms") & F.col("parent_element").isin("planning_items", "scenarios") & F.col("node").rlike(TERM_NODE) & is_number(F.col("columns")["weight"]))
     names = ["kind", "root_id", "plan_version", "item_id", "scenario_id", "pos"]
     companions = shred_typed(claims.select("claim_id", "required_companions").withColumn("required_companions", F.transform("required_companions", lambda x: F.struct(F.trim(x["claim_id"]).alias("companion_id"), x["scope"].alias("scope")))), ["claim_id"])["required_companions"]
     companion = companions.where("companion_id <> ''").select(F.lit("companion").alias("kind"), text(F.col("claim_id")).alias("root_id"), F.lit("").alias("plan_version"), F.col("companion_id").alias("item_id"), F.lit("").alias("scenario_id"), "pos")

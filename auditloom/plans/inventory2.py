@@ -489,3 +489,79 @@ def graph_lines(s: SparkSession, d: str) -> DataFrame:
 @query("report_lines", "SELECT '| ' || replace(n_name, '|', '\\|') || ' | ' || CAST(n_regionkey AS VARCHAR) || ' | NA |' AS line FROM nation")
 def report_lines(s: SparkSession, d: str) -> DataFrame:
     return sinks.markdown_rows(table(s, d, "nation").withColumn("none", F.lit(None).cast("string")), ["n_name", "n_regionkey", "none"])
+
+
+# ---- spans, pairs of records, unions of files
+
+_SPANS = Relation("doc_id bigint, kind string, name string, start bigint, end bigint", [(1, "paragraph", "", 0, 20), (1, "paragraph", "", 22, 40), (1, "claim", "a", 5, 12), (1, "claim", "b", 10, 30), (1, "claim", "c", 11, 12), (1, "claim", "none", 35, 35), (2, "paragraph", "", 0, 9), (3, "claim", "x", 0, 4), (4, "paragraph", "", 0, 5), (4, "claim", "y", 5, 9), (4, "claim", "z", 0, 2), (4, "claim", "z", 0, 2)])
+
+
+@query("coverage_of_spans", """WITH c AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS i FROM sp WHERE kind = 'claim' AND "end" > "start"), p AS (SELECT DISTINCT doc_id, "start" AS s, "end" AS e FROM sp WHERE kind = 'paragraph')
+  SELECT p.doc_id, s AS paragraph_start, e - s AS length, count(c.i) AS covered FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i >= s AND c.i < e GROUP BY ALL""", sp=_SPANS)
+def coverage_of_spans(s: SparkSession, d: str) -> DataFrame:
+    return spans.coverage(_SPANS.df(s), "doc_id")
+
+
+_SECTIONS = Relation("doc_id bigint, kind string, name string, start bigint, end bigint", [(1, "section", "Intro", 0, 50), (1, "section", "Methods", 50, 90), (2, "section", "Late", 30, 60)])
+_POINTS = Relation("doc_id bigint, name string, start bigint", [(1, "a", 0), (1, "b", 49), (1, "c", 50), (1, "d", 400), (2, "e", 10), (2, "f", 31), (3, "g", 5)])
+
+
+@query("sections_of_points", """SELECT p.doc_id, p.name, p.start, (SELECT arg_max(s.name, s.start) FROM se s WHERE s.doc_id = p.doc_id AND s.start <= p.start) AS section FROM po p""", se=_SECTIONS, po=_POINTS)
+def sections_of_points(s: SparkSession, d: str) -> DataFrame:
+    return spans.sections_of(_POINTS.df(s), _SECTIONS.df(s), "doc_id", "start")
+
+
+@query("linkable_pairs", """WITH r AS (SELECT record_id, lower(trim(coalesce(title, ''))) AS t, trim(coalesce(year, '')) AS y, nullif(trim(doi), '') AS doi, nullif(trim(pmid), '') AS pmid, nullif(trim(pmcid), '') AS pmcid, nullif(trim(arxiv_id), '') AS ax FROM (SELECT DISTINCT record_id, title, year, doi, pmid, pmcid, arxiv_id FROM records)), o AS (SELECT * FROM r WHERE t <> '')
+  SELECT DISTINCT a.record_id AS a, b.record_id AS b, coalesce(lower(a.doi) <> lower(b.doi), false) OR coalesce(lower(a.pmid) <> lower(b.pmid), false) OR coalesce(lower(a.pmcid) <> lower(b.pmcid), false) OR coalesce(lower(a.ax) <> lower(b.ax), false) AS conflict,
+    a.y = '' OR b.y = '' OR coalesce(abs(TRY_CAST(substr(a.y, 1, 4) AS INTEGER) - TRY_CAST(substr(b.y, 1, 4) AS INTEGER)) <= 1, a.y = b.y) AS fits FROM o a JOIN o b ON a.t = b.t AND a.record_id < b.record_id""")
+def linkable_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Records of one title: whether identifiers conflict and years fit."""
+    r = table(s, d, "records").select("record_id", F.lower(norm("title")).alias("t"), "year", "doi", "pmid", "pmcid", "arxiv_id").distinct().where("t <> ''")
+    j = r.alias("x").join(r.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.record_id") < F.col("y.record_id")))
+    return j.select(F.col("x.record_id").alias("a"), F.col("y.record_id").alias("b"), linkage.identifiers_conflict("x", "y").alias("conflict"), linkage.years_fit(F.col("x.year"), F.col("y.year")).alias("fits")).distinct()
+
+
+@query("union_files", "SELECT n_nationkey, n_name, n_regionkey, NULL::INTEGER AS r_regionkey, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name FROM region")
+def union_files(s: SparkSession, d: str) -> DataFrame:
+    return readers.union_files([table(s, d, "nation"), table(s, d, "region")])
+
+
+# ---- topics: clusters at a cosine threshold, over whole texts that aren't templates
+
+_TOPICS = Relation("id string, text string", [("a", "neural tumour growth"), ("b", "tumour growth neural imaging"), ("c", "growth imaging tumour"), ("d", "bayesian sampling chains"), ("e", "chains of bayesian sampling"), ("f", "unrelated words here"), ("g", "")])
+_TFIDF = """tk AS (SELECT id, unnest(regexp_extract_all(text, '[a-z][a-z0-9_-]{2,}')) AS term FROM tx), f AS (SELECT id, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM f GROUP BY term), w0 AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM tx)) / (1 + df)::DOUBLE) + 1) AS r FROM f JOIN df USING (term)),
+  w AS (SELECT id, term, r / sqrt(sum(r * r) OVER (PARTITION BY id)) AS w FROM w0), cp AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS c FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.23)"""
+
+
+@query("cosine_pairs", f"WITH {_TFIDF} SELECT a, b, round(c, 6) AS cosine FROM cp", tx=_TOPICS)
+def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
+    w = linkage.tfidf(_TOPICS.df(s), "id", F.col("text"))
+    return linkage.cosine_pairs(w, "id", 0.23).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("topic_clusters", f"""WITH RECURSIVE {_TFIDF}, l AS (SELECT a AS x, b AS y FROM cp UNION SELECT b, a FROM cp), r AS (SELECT id AS x, id AS y FROM tx WHERE id IN (SELECT id FROM w) UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), g AS (SELECT x AS id, min(y) AS root FROM r GROUP BY x), z AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS k FROM g GROUP BY root)
+  SELECT g.id, 'C' || lpad(CAST(k AS VARCHAR), 3, '0') AS cluster_id, (SELECT count(*) FROM cp WHERE cp.a = g.id OR cp.b = g.id) AS links FROM g JOIN z USING (root)""", tx=_TOPICS)
+def topic_clusters(s: SparkSession, d: str) -> DataFrame:
+    return linkage.threshold_clusters(linkage.tfidf(_TOPICS.df(s), "id", F.col("text")), "id")
+
+
+@query("cluster_terms", f"""WITH RECURSIVE {_TFIDF}, l AS (SELECT a AS x, b AS y FROM cp UNION SELECT b, a FROM cp), r AS (SELECT id AS x, id AS y FROM tx WHERE id IN (SELECT id FROM w) UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), g AS (SELECT x AS id, min(y) AS root FROM r GROUP BY x), z AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS k FROM g GROUP BY root),
+  t AS (SELECT k, term, sum(w) AS s FROM w JOIN g USING (id) JOIN z USING (root) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(s, 9) DESC, term) AS rank FROM t) SELECT 'C' || lpad(CAST(k AS VARCHAR), 3, '0') AS cluster_id, CAST(rank AS INTEGER) AS rank, term, round(s, 6) AS weight FROM o WHERE rank <= 2""", tx=_TOPICS)
+def cluster_terms(s: SparkSession, d: str) -> DataFrame:
+    w = linkage.tfidf(_TOPICS.df(s), "id", F.col("text"))
+    return linkage.cluster_terms(w.withColumn("weight", F.round("weight", 12)), linkage.threshold_clusters(w, "id"), "id", 2).withColumn("weight", F.round("weight", 6))
+
+
+# ---- similar titles: every pair compared in SQL by its longest common blocks is out of reach, so the cases are told
+
+_TITLES = Relation("record_id string, title string, authors string, year string, venue string, doi string, pmid string, pmcid string, arxiv_id string, source string", [
+    ("r1", "Sensitivity of the primary outcome to dropout", None, "2020", None, "10.1/a", None, None, None, "x"), ("r2", "Sensitivity of the primary outcome to drop-out", None, "2021", None, None, "77", None, None, "x"), ("r3", "Sensitivity of the primary outcome to dropout", None, "2024", None, None, None, None, None, "y"),
+    ("r4", "Sensitivity of the primary outcome to dropouts", None, "2020", None, "10.1/b", None, None, None, "y"), ("r5", "Another title of more than twenty letters", None, "2020", None, "10.1/A", None, None, None, "z"), ("r6", "Short title", None, "2020", None, None, None, None, None, "z"), ("r7", "short  title!", None, "1999", None, None, None, None, None, "z"),
+])
+
+
+@query("duplicate_groups", "SELECT * FROM (VALUES ('r1', 'r1'), ('r2', 'r1'), ('r3', 'r3'), ('r4', 'r1'), ('r5', 'r1'), ('r6', 'r6'), ('r7', 'r6')) t(record_id, group_id)")
+def duplicate_groups(s: SparkSession, d: str) -> DataFrame:
+    """r1 and r5 share a DOI; r2 is like r1 and r4, a year apart; r3 is three years off; r4's DOI conflicts with r1's but not with r2; r6 and r7 share the title as their key."""
+    return linkage.duplicate_groups(_TITLES.df(s))
+

@@ -26,9 +26,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.nested_parts(table(spark, d, "power_plan"), table(spark, d, "claims"))
 
 
+_PLAN = (["planning_id", "plan_version", "doc"], "plan", {"planning_items": "planning_item_id", "scenarios": "scenario_id"}, frozenset({"overrides"}))
+
+
 def p3_tables(spark: SparkSession, d: str) -> DataFrame:
-    rows = shred.shred(table(spark, d, "power_plan"), "payload", ["planning_id", "plan_version"], "plan", {"planning_items": "planning_item_id", "scenarios": "scenario_id"}, frozenset({"overrides"}))
-    return rows.select("planning_id", "plan_version", "element", "node", "parent_element", "parent_node", "pos", F.to_json("parent_keys").alias("parent_keys"), F.to_json("columns").alias("columns"))
+    rows = shred.shred(shred.with_document_key(table(spark, d, "power_plan"), "payload"), "payload", *_PLAN)
+    return rows.select(*_PLAN[0], "element", "node", "parent_element", "parent_node", "pos", F.to_json("parent_keys").alias("parent_keys"), F.to_json("columns").alias("columns"))
+
+
+def _plan_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The plans' rows by the fixed element graph, each delivery of a payload once."""
+    plans = shred.with_document_key(table(spark, d, "power_plan").where("payload is not null"), "payload").dropDuplicates(["planning_id", "plan_version", "doc"])
+    return shred.shred(plans, "payload", *_PLAN, shred.PLAN_GRAPH)
+
+
+def p3_items(spark: SparkSession, d: str) -> DataFrame:
+    return shred.flat_table(_plan_rows(spark, d), "planning_items", _PLAN[0], [], {"planning_item_id": "string", "type": "string", "alpha": "double", "mean_difference": "double"}).where("parent_node = '$'").select("planning_id", "plan_version", "doc", "pos", "planning_item_id", "type", "alpha", "mean_difference")
+
+
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    t = shred.flat_table(_plan_rows(spark, d), "contrast_terms", _PLAN[0], ["planning_items", "scenarios"], {"level": "string", "weight": "double"})
+    return t.where(F.col("node").rlike(shred.TERM_NODE)).select("planning_id", "plan_version", "doc", F.col("planning_items_key").alias("item_id"), F.col("scenarios_key").alias("scenario_id"), "pos", "level", "weight")
+
+
+def p3_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    return shred.orphan_nodes(_plan_rows(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +88,9 @@ QUERIES = {
     "p1_analysis_plan": _p1_table("analysis_plan"),
     "p3_found": p3_found,
     "p3_tables": p3_tables,
+    "p3_items": p3_items,
+    "p3_terms": p3_terms,
+    "p3_foreign_keys": p3_foreign_keys,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_by_period": p5_by_period,
@@ -187,9 +212,26 @@ _P1 = """WITH RECURSIVE src AS (SELECT stream_id, file_name, artifact, min(expor
     UNION ALL SELECT stream_id, file_name, path, '', change FROM ch WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.stream_id = ch.stream_id AND ren.file_name = ch.file_name AND ((ch.change = 'added' AND ren.field = ch.path) OR (ch.change = 'removed' AND ren.old_field = ch.path))))
   SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.stream_id = al.stream_id AND ch.file_name = al.file_name AND (starts_with(al.field, ch.path || '.') OR starts_with(al.field, ch.path || '[]')))"""
 
+
+
+def _number(doc: str, key: str) -> str:
+    """A column that is a number or the text of one."""
+    j = f"CAST(json_extract({doc}, '$.{key}') AS VARCHAR)"
+    return f"CASE WHEN regexp_matches({j}, '{_JSON_NUMBER}') THEN CAST(trim(replace({j}, '\"', '')) AS DOUBLE) END"
+
+
+_P3_DOCS = f"""p AS (SELECT DISTINCT planning_id, plan_version, md5(payload) AS doc, CAST(payload AS JSON) AS j FROM power_plan WHERE json_valid(payload)),
+  it AS (SELECT planning_id, plan_version, doc, u.x AS i, u.pos FROM p, LATERAL {_at("j", "$.planning_items")} u WHERE json_type(u.x) = 'OBJECT'),
+  sc AS (SELECT planning_id, plan_version, doc, i->>'$.planning_item_id' AS item_id, u.x->>'$.scenario_id' AS scenario_id, CASE json_type(u.x, '$.overrides') WHEN 'VARCHAR' THEN CASE WHEN json_valid(u.x->>'$.overrides') THEN CAST(u.x->>'$.overrides' AS JSON) END ELSE json_extract(u.x, '$.overrides') END AS o
+    FROM it, LATERAL {_at("i", "$.scenarios")} u WHERE json_type(u.x) = 'OBJECT'),
+  te AS (SELECT planning_id, plan_version, doc, i->>'$.planning_item_id' AS item_id, NULL AS scenario_id, u.pos, u.x AS t FROM it, LATERAL {_at("i", "$.contrast_terms")} u UNION ALL SELECT planning_id, plan_version, doc, item_id, scenario_id, u.pos, u.x FROM sc, LATERAL {_at("o", "$.contrast_terms")} u)"""
+
 SQL = {
     "p1_found": _P1,
     "p3_found": _P3,
+    "p3_items": f"WITH {_P3_DOCS} SELECT planning_id, plan_version, doc, pos, i->>'$.planning_item_id' AS planning_item_id, i->>'$.type' AS type, {_number('i', 'alpha')} AS alpha, {_number('i', 'mean_difference')} AS mean_difference FROM it",
+    "p3_terms": f"WITH {_P3_DOCS} SELECT planning_id, plan_version, doc, item_id, scenario_id, pos, t->>'$.level' AS level, {_number('t', 'weight')} AS weight FROM te WHERE json_type(t) = 'OBJECT'",
+    "p3_foreign_keys": f"WITH {_P3_DOCS} SELECT 'planning_items' AS element, count(*) AS rows, CAST(0 AS BIGINT) AS orphans FROM it UNION ALL SELECT 'scenarios', count(*), CAST(0 AS BIGINT) FROM sc UNION ALL SELECT 'contrast_terms', count(*), CAST(0 AS BIGINT) FROM te WHERE json_type(t) = 'OBJECT'",
     "p4_found": _p4_sql(),
     "p5_found": _P5,
     "p5_by_period": f'SELECT ref_field, status, period, count(*) AS "references", count(DISTINCT target_id) AS targets FROM ({_P5}) GROUP BY ALL',
