@@ -50,7 +50,7 @@ _CITY = rf"[{_UP}][{_L}'’-]+(?: [{_UP}][{_L}'’-]+(?=[,\r\n]|$))?"
 # e-mail: sign, word or bracketed word for @ and the dot
 _AT = r"(?:@|\s?[\[({<]\s?(?:at|AT|At)\s?[\])}>]\s?| AT )"
 #: What every spelling of an e-mail holds: an @, a bracketed or upper-case word for it, or a word for the dot.
-_EMAIL_SIGN = re.compile(r"@|[\[({<]\s?[aA][tT]\s?[\])}>]| AT | dot ")
+_EMAIL_SIGNS, _EMAIL_WORD = ("@", " AT ", " dot "), re.compile(r"[\[({<]\s?[aA][tT]\s?[\])}>]")
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|Dot)\s?[\])}]\s?| DOT | dot )"
 _EMAIL = re.compile(rf"(?<![{_L}0-9._%+-])[{_L}0-9][{_L}0-9._%+'-]*(?:{_AT}|(?: at (?=[A-Za-z0-9-]+ dot ))){'[A-Za-z0-9-]+'}(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])")
 
@@ -59,6 +59,9 @@ _LONG = re.compile(r"\d(?:\)?[ .\-/]?\(?\d){%d}" % (DIGITS[0] - 1))
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_.@/+-])(?<!\d,)(?=[+(]{0,2}" + _LONG.pattern + r")[+(]{0,2}\d+(?:[)]?[ .\-/]?[(]?\d+)*(?:X(?![A-Za-z0-9]))?")
 _CODE = re.compile(r"(?<![A-Za-z0-9_-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}\d{6,9}(?:[A-Z]\d?)?|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]{3}-\d{8}|\d{2}[A-Z]{2}\d{5})(?![A-Za-z0-9_-])")
 
+#: Every code holds five digits, at most single blanks between them.
+_DIGITS_OF_CODE = re.compile(r"(?:\d ?){5}")
+
 _NUM = r"\d{1,5} ?[A-Za-z]?"
 _STREETS = r"(?i:Street|St\.?|Road|Lane|Avenue|Way|Boulevard|Court|Drive|Close|Square|Terrace|Place|Crescent|Gardens|(?:Rd|Ln|Ave|Blvd|Ct|Dr|Sq)(?:\.(?=, ))?)"
 _POST_EN = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5})"
@@ -86,6 +89,7 @@ _OPENERS = set("The A An In On At By For From To With Of And Or But If When Then
 _TOKEN = re.compile(rf"[{_L}]+(?:['’-][{_L}]+)*\.?")
 # capitalised words and particles alone: what lies between is in no name, and the gap tells it
 _CAPITAL = re.compile(rf"(?<![{_L}])(?<![{_L}]['’-])(?:[{_UP}][{_L}]*|(?:{'|'.join(sorted(_PARTICLES, key=len, reverse=True))})(?![{_L}]))(?:['’-][{_L}]+)*\.?")
+_HAN = re.compile("[一-鿿]{2}")
 _HAN_NAME = re.compile(r"(?:(?<=[为由与和：:=|·。，、\n\r ])|(?<=感谢)|(?<=^))(?!感谢|作者|通讯|请|电话|地址|邮箱|证件|受试)[一-鿿]{2,4}(?=，|提供|。|;| ?[|·]|\s|$|\(|（)")
 
 # words around a segment, by language; fixed values
@@ -184,8 +188,9 @@ def _around(t: str, start: int, end: int) -> tuple[list[str], list[str], str, st
     return words, nxt, (t[start - 1] if start else "\n"), (t[end] if end < len(t) else "\n")
 
 
-def _context(t: str, start: int, end: int, f: list[str]) -> None:
-    words, nxt, before, after = _around(t, start, end)
+def _context(t: str, start: int, end: int, f: list[str]) -> tuple[list[str], list[str], str, str]:
+    """Adds what the surroundings tell, and gives them."""
+    words, nxt, before, after = around = _around(t, start, end)
     for back, w in enumerate(reversed(words)):
         k = _CUE.get(w)
         if k is None and w[0] >= "一":
@@ -198,10 +203,11 @@ def _context(t: str, start: int, end: int, f: list[str]) -> None:
         f.append("alone")
     f.append(f"before:{before if not before.isalnum() else 'x'}")
     f.append(f"after:{after if not after.isalnum() else 'x'}")
+    return around
 
 
-def _number_segments(t: str, out: list[Segment]) -> None:
-    for m in _NUMBER.finditer(t) if _LONG.search(t) else ():
+def _number_segments(t: str, out: list[Segment], search_all: bool = False) -> None:
+    for m in _NUMBER.finditer(t) if search_all or _LONG.search(t) else ():
         s, e = m.span()
         x = m[0]
         if len(x) < DIGITS[0]:
@@ -228,7 +234,7 @@ def _number_segments(t: str, out: list[Segment]) -> None:
         _context(t, s, e, base)
         out.append(Segment(s, e, "phone", ["phone", *[f"phone|{b}" for b in base]]))
         out.append(Segment(s, e, "identity", ["identity", *[f"identity|{b}" for b in base]]))
-    for m in _CODE.finditer(t):
+    for m in _CODE.finditer(t) if search_all or _DIGITS_OF_CODE.search(t) else ():
         base = ["code", "shape:" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m[0]))[:14]]
         _context(t, *m.span(), base)
         out.append(Segment(*m.span(), "identity", ["identity", *[f"identity|{b}" for b in base]]))
@@ -241,7 +247,7 @@ _SPELLING = re.compile(r"(?:W|i){1,%d}i{0,2}p{0,2}W|p{0,2}WcWi{0,2}" % (NAME_WOR
 _PLAIN_WORD = ("", 0)
 
 
-def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
+def _name_segments(t: str, lex: Lexicon, out: list[Segment], search_all: bool = False) -> None:
     run: list[tuple[int, int, str, str]] = []
 
     def flush() -> None:
@@ -276,8 +282,7 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
             f.append("all ordinary")
         elif all(k in "ou" for k in names):
             f.append("none known")
-        _context(t, s, e, f)
-        before, nxt, left, right = _around(t, s, e)
+        before, nxt, left, right = _context(t, s, e, f)
         if nxt and nxt[0] in _AFTER_NAME:
             f.append("told of")
         if nxt and (nxt[0] in _AFTER_NO_NAME):
@@ -331,7 +336,7 @@ def _name_segments(t: str, lex: Lexicon, out: list[Segment]) -> None:
             flush()
             end = -2
     flush()
-    for m in _HAN_NAME.finditer(t):
+    for m in _HAN_NAME.finditer(t) if search_all or not t.isascii() and _HAN.search(t) else ():
         w = m[0]
         f = [f"han:{len(w)}", "family listed" if w[0] in lex.han else "family not listed"]
         _context(t, *m.span(), f)
@@ -346,7 +351,7 @@ def propose(text: str, lex: Lexicon, search_all: bool = False) -> list[Segment]:
     """All candidate segments of a text, over its plain form. ``search_all`` searches forms whose signs the text lacks as well, with the same result."""
     t = plain(text)
     out: list[Segment] = []
-    if search_all or _EMAIL_SIGN.search(t):
+    if search_all or any(w in t for w in _EMAIL_SIGNS) or _EMAIL_WORD.search(t):
         for m in _EMAIL.finditer(t):
             f = ["email", "email|sign" if "@" in m[0] else "email|word"]
             _context(t, *m.span(), f)
@@ -364,8 +369,8 @@ def propose(text: str, lex: Lexicon, search_all: bool = False) -> list[Segment]:
             g: list[str] = []
             _context(t, *m.span(), g)
             out.append(Segment(*m.span(), "address", f + [f"address|{x}" for x in g]))
-    _number_segments(t, out)
-    _name_segments(t, lex, out)
+    _number_segments(t, out, search_all)
+    _name_segments(t, lex, out, search_all)
     return out
 
 
