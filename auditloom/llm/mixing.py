@@ -53,12 +53,14 @@ def draw(documents: DataFrame, targets: DataFrame, seed: int = 42, vocabulary_pa
     """mix_id, doc_id, source, repeat (from 1), tokens of every drawn document."""
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
-    sized = scratch.write(sized_documents(documents, vocabulary_path).where("tokens > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "sized")
-    totals = {r.source: r for r in sized.groupBy("source").agg(F.sum("tokens").alias("supply"), F.max("tokens").alias("largest")).join(F.broadcast(_clean(targets).select("source").distinct()), "source", "left_semi").collect()}
-    corpus = sized.agg(F.sum("tokens").alias("n")).collect()[0].n or 0
     rows = _clean(targets).limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError("mix targets are meant to be a small table")
+    sized = scratch.write(sized_documents(documents, vocabulary_path).where("tokens > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "sized")
+    # as many names as targets at most
+    named = spark.createDataFrame([(x,) for x in sorted({r.source for r in rows})], "source string")
+    totals = {r.source: r for r in sized.groupBy("source").agg(F.sum("tokens").alias("supply"), F.max("tokens").alias("largest")).join(F.broadcast(named), "source", "left_semi").collect()}
+    corpus = sized.agg(F.sum("tokens").alias("n")).collect()[0].n or 0
     mixes = defaultdict(list)
     for r in rows:
         mixes[r.mix_id].append(r)
