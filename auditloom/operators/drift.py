@@ -98,9 +98,9 @@ def _writable(text: str) -> bool:
         return False
 
 
-def _json(v: object) -> str:
-    text = json.dumps(v, ensure_ascii=False)
-    return text if _writable(text) else json.dumps(v)
+def _json(v: object, by_name: bool = False) -> str:
+    text = json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=by_name)
+    return text if _writable(text) else json.dumps(v, separators=(",", ":"), sort_keys=by_name)
 
 
 def _name(path: str) -> str:
@@ -207,7 +207,7 @@ def enforce(lines: DataFrame, targets: dict[str, dict[str, str]] | None = None,
                 k = None if k is None or isinstance(k, (list, dict)) else k if isinstance(k, str) and _writable(k) else json.dumps(k)
                 kept.append(n)
                 record_keys.append(k)
-                rescued.append(_json(dict(sorted(rest.items()))) if rest else None)
+                rescued.append(_json(rest, by_name=True) if rest else None)
                 if digest:
                     marks.append("/".join(map(str, digests(json.dumps(record, sort_keys=True)))))
                 for c, v in zip(typed, row):

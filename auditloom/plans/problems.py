@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p1_table(artifact: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        return drift.promote(drift.ingest(table(spark, d, "ledger_files"), artifact), drift.PROMOTED[artifact])
+        return drift.promote(drift.ingest(table(spark, d, "ledger_files"), artifact), drift.PROMOTED[artifact]).withColumn("exported_at", F.col("exported_at").cast("timestamp_ntz"))
 
     return q
 
@@ -214,6 +214,32 @@ _P1 = """WITH RECURSIVE src AS (SELECT stream_id, file_name, artifact, min(expor
 
 
 
+def _p1_table_sql(artifact: str, key: str, typed: dict[str, str], promoted: dict[str, str]) -> str:
+    """Lines' fields by type; what is outside the schema, null or of another type stays in ``_rescued``."""
+    kinds = {"string": "('VARCHAR')", "double": "('UBIGINT', 'BIGINT', 'DOUBLE')", "bigint": "('UBIGINT', 'BIGINT')", "boolean": "('BOOLEAN')", "json": "('ARRAY', 'OBJECT')", "array<string>": "('ARRAY')"}
+    value = {"string": "j->>'$.\"{f}\"'", "double": "CAST(j->>'$.\"{f}\"' AS DOUBLE)", "bigint": "CAST(j->>'$.\"{f}\"' AS BIGINT)", "boolean": "CAST(j->>'$.\"{f}\"' AS BOOLEAN)", "json": "CAST(json_extract(j, '$.\"{f}\"') AS VARCHAR)", "array<string>": "CAST(json_extract(j, '$.\"{f}\"') AS VARCHAR[])"}
+    every = typed | promoted
+    fits = {f: f"coalesce(json_type(j, '$.\"{f}\"') IN {kinds[t]}, false)" for f, t in every.items()}
+    # columns can't differ by letter case alone
+    names, taken = {}, set()
+    for f in every:
+        n = f if f.lower() not in taken else f"{f}_2"
+        taken.add(n.lower())
+        names[f] = n
+    cols = ", ".join(f"CASE WHEN {fits[f]} THEN {value[t].format(f=f)} END AS \"{names[f]}\"" for f, t in every.items())
+    kept = " AND ".join(f"NOT (e.key = '{f}' AND {fits[f]})" for f in every)
+    return f"""WITH r AS (SELECT DISTINCT stream_id, file_name, exported_at, CAST(payload AS JSON) AS j FROM ledger_files WHERE artifact = '{artifact}' AND json_valid(payload) AND json_type(payload) = 'OBJECT')
+      SELECT DISTINCT stream_id, file_name, exported_at, j->>'$.{key}' AS record_key, {cols}, (SELECT CASE WHEN count(*) > 0 THEN '{{' || string_agg(CAST(to_json(e.key) AS VARCHAR) || ':' || CASE json_type(e.value) WHEN 'OBJECT' THEN (SELECT '{{' || coalesce(string_agg(CAST(to_json(i.key) AS VARCHAR) || ':' || CAST(i.value AS VARCHAR), ',' ORDER BY i.key), '') || '}}' FROM json_each(e.value) i) ELSE CAST(e.value AS VARCHAR) END, ',' ORDER BY e.key) || '}}' END FROM json_each(j) e WHERE {kept}) AS _rescued FROM r"""
+
+
+_T = "string"
+_P1_TABLES = {
+    "claims": ("claim_id", {"claim_id": _T, "section": _T, "claim_type": _T, "text": _T, "evidence_ids": "array<string>", "status": _T, "lifecycle_state": _T, "anchor_precision": _T, "object_refs": "json", "manuscript_anchor": _T, "strength": _T}, {"anchor_granularity": _T, "Anchor_Precision": _T, "lifecycleState": _T, "x_skill_hint": _T}),
+    "workspace_state": ("project_id", {"project_id": _T, "schema_version": "double", "state_id": _T, "skill_version": _T, "mode": _T, "files": "json"}, {"version": "double", "Schema_Version": "double", "x_skill_hint": _T, "x_locked": "boolean", "review_round": "bigint"}),
+    "analysis_plan": ("analysis_id", {"analysis_id": _T, "analysis_plan_schema_version": _T, "plan_version": _T, "profile": _T, "random_seed": "bigint", "input": "json", "analyses": "json"}, {"x_skill_hint": _T, "x_locked": "boolean", "manuscript_presence": _T}),
+}
+
+
 def _number(doc: str, key: str) -> str:
     """A column that is a number or the text of one."""
     j = f"CAST(json_extract({doc}, '$.{key}') AS VARCHAR)"
@@ -228,6 +254,7 @@ _P3_DOCS = f"""p AS (SELECT DISTINCT planning_id, plan_version, md5(payload) AS
 
 SQL = {
     "p1_found": _P1,
+    **{f"p1_{a}": _p1_table_sql(a, *parts) for a, parts in _P1_TABLES.items()},
     "p3_found": _P3,
     "p3_items": f"WITH {_P3_DOCS} SELECT planning_id, plan_version, doc, pos, i->>'$.planning_item_id' AS planning_item_id, i->>'$.type' AS type, {_number('i', 'alpha')} AS alpha, {_number('i', 'mean_difference')} AS mean_difference FROM it",
     "p3_terms": f"WITH {_P3_DOCS} SELECT planning_id, plan_version, doc, item_id, scenario_id, pos, t->>'$.level' AS level, {_number('t', 'weight')} AS weight FROM te WHERE json_type(t) = 'OBJECT'",
@@ -236,6 +263,8 @@ SQL = {
     "p5_found": _P5,
     "p5_by_period": f'SELECT ref_field, status, period, count(*) AS "references", count(DISTINCT target_id) AS targets FROM ({_P5}) GROUP BY ALL',
     "p6_found": _P6,
+    "p6_back_edges": f"""WITH RECURSIVE {_P6_LINKS}, up AS (SELECT child AS a, parent AS b FROM links UNION SELECT u.a, l.parent FROM up u JOIN links l ON u.b = l.child), least AS (SELECT DISTINCT min(v.b) OVER (PARTITION BY u.a) AS m FROM up u JOIN up v ON u.a = v.a WHERE u.a = u.b)
+  SELECT l.parent AS claim_id, m AS back_edge_to FROM least JOIN links l ON l.child = m""",
     "p6_descendants": f"""WITH RECURSIVE {_P6_LINKS}, up AS (SELECT parent AS ancestor, child AS descendant, 1 AS distance FROM links UNION SELECT l.parent, u.descendant, u.distance + 1 FROM up u JOIN links l ON u.ancestor = l.child WHERE u.distance <= (SELECT count(*) FROM links)),
   rooted AS (SELECT DISTINCT descendant FROM up WHERE ancestor NOT IN (SELECT child FROM links)) SELECT DISTINCT ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM up WHERE descendant IN (SELECT descendant FROM rooted)""",
     "p7_found": _P7,
