@@ -1,14 +1,11 @@
 """References to records that do not exist, are deleted or come later.
 
-A broadcast Bloom filter over all parent keys proves most orphans at once, without a shuffle; only the
-references that pass it are joined exactly with the parents' state.
-
-The filter has at most ``MAX_BITS`` bits (8 MB) whatever the number of parents: with more of
-them it lets more references through, to the exact join, and the result stays the same.
+One exact join of the references with the parents' state, nothing on the driver: filters of the parents' keys spare it
+only the rows of missing targets, and the driver had to hold each filter once for every place that asks it.
 
 Defined results: blank and null references are none; a reference counts once per referring id, target, status
 and month; a parent is deleted when all its rows are; a null ``loaded_at`` of the referring row gives period ''
-and is never late; hot targets are joined by ``skew_join``; an empty parent table makes all missing.
+and is never late; a hot target is split by the engine at run time; an empty parent table makes all missing.
 """
 
 from __future__ import annotations
@@ -63,20 +60,11 @@ def might_contain(blooms: list[Column], key: Column) -> Column:
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """refs(ref_field, from_id, target_id, at) against parents(ref_field, target_id, gone, first_at)."""
-    keyed = F.concat_ws("\u0001", "ref_field", "target_id")
-    known = parents.select(keyed.alias("k"))
-    n = known.count()
-    if not n:
-        return refs.select("ref_field", "from_id", "target_id", F.lit("missing").alias("status"), "at")
-    may = might_contain(bloom_filters(known, "k", n), keyed)
-    passed = refs.where(may)
-    absent = refs.where(~may).select("ref_field", "from_id", "target_id", F.lit("missing").alias("status"), "at")
     state = parents.groupBy("ref_field", "target_id").agg(F.min("gone").alias("gone"), F.min("first_at").alias("first_at"))
     # one row a key on the right: a target that many refer to is split by the engine at run time, without a count beforehand
-    joined = passed.join(state, ["ref_field", "target_id"], "left")
+    joined = refs.join(state, ["ref_field", "target_id"], "left")
     status = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("first_at") > F.col("at"), "late")
-    verified = joined.withColumn("status", status).where(F.col("status").isNotNull()).select("ref_field", "from_id", "target_id", "status", "at")
-    return absent.unionByName(verified)
+    return joined.withColumn("status", status).where(F.col("status").isNotNull()).select("ref_field", "from_id", "target_id", "status", "at")
 
 
 def ledger_references(claims: DataFrame, trail: DataFrame, evidence: DataFrame, sources: DataFrame, records: DataFrame) -> DataFrame:

@@ -188,6 +188,13 @@ def test_references_hot_target_and_no_parents(spark, rows):
     assert {r[3] for r in got} == {"missing"} and len(got) == 5
 
 
+def test_references_hold_nothing_on_the_driver(spark, rows):
+    """Neither a filter of the parents' keys nor a count of them: the driver's memory doesn't grow with the parents."""
+    found = references.ledger_references(*refs_tables(spark, [("a", "r1", day(1)), ("b", "nope", day(1))], [("r1", day(0), None)]))
+    assert "subquery" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r[1:4] for r in rows(found.where("ref_field = 'citation_trail.target_id'"))] == [("b", "nope", "missing")]
+
+
 # ---- hierarchies
 
 def brute_tree(links):
