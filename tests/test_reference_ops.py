@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import dist, typed
 from auditloom.functions import ledger as L
-from auditloom.operators import clean, figures, findings, hashing, linkage, manuscript, ordering, power, quantiles, runs, skew, spans, stats
+from auditloom.operators import clean, figures, findings, hashing, linkage, manuscript, ordering, power, quantiles, runs, similar, skew, spans, stats
 from auditloom.plans import analysis
 from auditloom.scratch import Scratch
 from auditloom.sources import readers, sinks
@@ -289,6 +289,25 @@ def test_duplicate_groups_against_all_pairs(spark):
     assert got == {x: find(x) for x in up} and len(set(got.values())) > 5
 
 
+def test_candidates_lose_no_pair_and_are_few_on_titles_of_one_pattern(spark, monkeypatch):
+    """Titles of one pattern share all their rare parts; long ones need more than one word of bits. Divided into parts as well."""
+    rnd = random.Random(5)
+    words = ["cluster", "sampling", "claim ledger", "run ledger", "outcome", "assay plate", "exclusion rule", "power estimate"]
+    titles = {f"pooled {a} and {b} under {c} conditions" for a, b, c in itertools.product(words, words, ["adjusted", "unadjusted", "delayed", "derived", "blinded"])}
+    for _ in range(60):
+        t = list(("panel of 0_9 notes " * 12)[: rnd.choice([60, 66, 130, 220])])
+        for _ in range(rnd.randrange(1, len(t) // 10)):
+            t[rnd.randrange(1, len(t))] = rnd.choice(["", "q", "zz"])
+        titles.add("".join(t))
+    alike = {tuple(sorted((x, y))) for x, y in itertools.combinations(titles, 2) if difflib.SequenceMatcher(None, x, y).real_quick_ratio() >= 0.93 and difflib.SequenceMatcher(None, x, y).quick_ratio() >= 0.93 and max(difflib.SequenceMatcher(None, x, y).ratio(), difflib.SequenceMatcher(None, y, x).ratio()) >= 0.93}
+    items = spark.createDataFrame([(t,) for t in sorted(titles)] + [(None,)], "t string")
+    for one, part in ((10**6, 10**6), (100, 8000)):
+        monkeypatch.setattr(similar, "ONE", one)
+        monkeypatch.setattr(similar, "PART", part)
+        got = [(r.a, r.b) for r in similar.candidates(items, "t", 0.93).collect()]
+        assert alike <= set(got) and len(alike) > 300 and len(got) == len(set(got)) < 2 * len(alike)
+
+
 def test_records_of_one_title_with_and_without_identifier_are_merged(spark):
     r = records(spark, [{"record_id": "a", "title": "A delayed assay plate in trials", "year": "2020", "doi": "10.1/x"}, {"record_id": "b", "title": "A delayed assay plate in trials", "year": "2020", "pmid": "7"}, {"record_id": "c", "title": "A delayed assay plate in trials", "year": "2020", "doi": "10.1/y", "pmid": "8"}])
     assert {x.record_id: x.group_id for x in linkage.duplicate_groups(r).collect()} == {"a": "a", "b": "a", "c": "c"}
